@@ -60,3 +60,10 @@ def small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
 def squash(c):
     """Comparison key for names: any run of Unicode blanks is one space, ends trimmed, lower case."""
     return F.lower(F.trim(F.regexp_replace(c, r"(?U)[\s\x{200B}\x{FEFF}]+", " ")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance rows before heavy per-row work where the scan has fewer files than the cluster has cores
+    (a Parquet file written as one row group is one task, however large); otherwise leave the scan as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if 0 < len(df.inputFiles()) < cores else df
