@@ -52,11 +52,12 @@ STRONG = re.compile(
             r"\baccess denied\b|permission to (?:view|access)|^(?:403|401)?\s*forbidden$|internal server error$|^(?:bad gateway|service unavailable|gateway timeout|not found)$|too many requests|you have made \S+ requests|slow down and try again",
             r"our server (?:\w+ ){1,5}(?:while|during)|something went wrong|something is missing|unhandled exception|null ?pointer|stack ?trace|^caused by\b|traceback|fatal error|warning: \w+\(\)|database (?:connection|error)|\bsession has expired|has been told about incident|"
             r"(?:not|isn't) available in your (?:region|country)|request \w+ was blocked|was blocked by|checking (?:that you are|your browser)|complete the check|verify (?:that )?you are (?:a )?human|are you a robot|unusual traffic|scheduled maintenance|under maintenance|down for maintenance|we(?: wi|')ll be back|back (?:soon|shortly)|maintenance window",
+            r"is being updated and will be|will be back at|connection failed|could not (?:reach|connect to) host|could not find what you|page is missing|moved or deleted|お探しのページ|見つかりません|ページ(?:は|が)(?:存在|表示)|エラー|页面不存在|找不到.{0,6}页面|无法(?:访问|显示)|页面未找到|服务器(?:错误|繁忙)|الصفحة غير موجودة|لم يتم العثور|पृष्ठ नहीं मिला|पेज नहीं मिला|δεν βρέθηκε|ไม่พบหน้า|"
             r"domain (?:is for sale|has expired|is parked)|this account has been suspended|default (?:web )?page|it works!$|index of /",
             # demands for scripts
             rf"^(?:please |you (?:need|must|have) to |kindly )*(?:enable|activate|allow|permit|turn on|switch on|accept|use)\b.{{0,20}}{_IN}\b.{{0,60}}$|^(?:please )?(?:turn|switch) (?:it|{_IN}) on\b.{{0,60}}$",
             rf"^.{{0,60}}\b(?:needs?|requires?|depends? on|cannot run without|will not work without|does not work without|works best with|cannot be displayed without)\b.{{0,24}}{_S}\b.{{0,40}}$|{_S} (?:is|are) (?:disabled|turned off|switched off|not enabled|blocked|required)\b|if \S+ does not load, allow|browser is (?:currently )?blocking|^loading(?:\.\.\.|…)?$",
-            r"aktivieren sie (?:bitte )?javascript|javascript aktivieren|activer javascript|activez javascript|active javascript|activa javascript|habilite javascript|javascript (?:est|está) desactivado",
+            r"javascript ?を有効|启用 ?javascript|تفعيل javascript|javascript (?:सक्षम|चालू)|ενεργοποιήστε .{0,12}javascript|เปิดใช้(?:งาน)? ?javascript|aktivieren sie (?:bitte )?javascript|javascript aktivieren|activer javascript|activez javascript|active javascript|activa javascript|habilite javascript|javascript (?:est|está) desactivado",
         )
     ),
     re.I,
@@ -65,13 +66,15 @@ STRONG = re.compile(
 ASIDE = re.compile(
     r"check the address|try (?:again|the search box)|return to the .{0,40}(?:page|home)|start page|staff have been informed|when you write to|reference number|please try again|(?:trace|ray|request|incident|quote|ref\w*)\s+[0-9a-f]{6,}|"
     r"ask your administrator|browser settings|reload (?:afterwards|the page)|sign in again|contact (?:support|your administrator)|^hinweis \w+|^(?:sorry|oops|whoops|uh oh|we are sorry|hinweis|achtung|attention|error|fehler|erreur)\W*$|"
-    r"will be replaced|er steht hier nur|le contenu de|published on$",
+    r"will be replaced|(?:sorry|apologi[sz]e|thank you) for (?:the|any|your) (?:trouble|inconvenience|patience)|^(?:kind|best|warm) regards\W*$|er steht hier nur|le contenu de|published on$",
     re.I,
 )
 WEAK = re.compile(r"\b(?:error|failed|unavailable|denied|expired|blocked|forbidden|invalid|missing|offline|restricted|log ?in|sign in|subscribe|members|javascript|cookies?|scripts?|browser|template|placeholder|untitled|draft)\b", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…。！？।؟])[\"”»’)]*\s+|(?<=[。！？।])|\n+")
+_WRAPPED = re.compile(r"(?<![.!?…:;。！？।؟])[^\S\n]*\n(?=[a-zà-ÿα-ωά-ώ])")
 _WORDS = re.compile(r"[^\W\d_]+")
 _DENSE = re.compile(r"[؀-ۿऀ-ॿ฀-๿぀-ヿ一-鿿가-힯Ͱ-ϿЀ-ӿ]")
+_FINAL = ".!?…。！？।؟;:\"”»’)“"
 SHORT_WORDS, OWN_WORDS, REPEATS = 80, 6, 3
 
 
@@ -85,7 +88,7 @@ def judge(text: str) -> tuple[str, str | None]:
     marked = own = 0
     weak = False
     total = 0
-    for s in _SENTENCE.split(text):
+    for s in _SENTENCE.split(_WRAPPED.sub(" ", text)):
         s = s.strip()
         if not s:
             continue
@@ -93,15 +96,15 @@ def judge(text: str) -> tuple[str, str | None]:
         bare = PLACEHOLDER.sub(" ", s) if holes else s
         words = _WORDS.findall(bare.lower())
         total += len(words)
-        if holes and (len(holes) * 6 >= len(words) or s.startswith("<!--")):
+        if holes and (len(holes) * 6 >= len(words) or len(words) <= 12 * min(len(holes), 1) or s.startswith("<!--")):
             marked += 1
         elif _filler(words) or STRONG.search(s) and not (len(words) > 22):
             marked += 1
         elif ASIDE.search(s) and len(words) <= 20:
             weak = True
-        elif len(words) >= OWN_WORDS and s[-1] not in ":," or len(_DENSE.findall(s)) >= 10:
+        elif len(words) >= OWN_WORDS and s[-1] in _FINAL or len(_DENSE.findall(s)) >= 6:
             own += 1
-            if own > 2 and len(text) > 1000:
+            if own > 3 and len(text) > 600:
                 return "content", None
         else:
             weak = weak or bool(WEAK.search(s))
