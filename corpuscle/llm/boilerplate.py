@@ -176,7 +176,7 @@ def _classify(lines: list[str], m: Model, host: str | None) -> list[int]:
             out.append(TEASER)
         elif CONTROL.match(s) or NOTICE.match(s) or key == "@" or key in m.notices:
             out.append(DROP)
-        elif INLINE.match(s) or ("›" in s or re.match(r"^(?:home|accueil|inicio|startseite)\s*[/>»]", s, re.I)):
+        elif INLINE.match(s) or s[0] in "→►▸»" or ("›" in s or re.match(r"^(?:home|accueil|inicio|startseite)\s*[/>»]", s, re.I)):
             out.append(DROP)
         elif len(parts) >= 3 and not _END.search(s) and sum(len(p.split()) <= 3 for p in parts) == len(parts):
             out.append(DROP)
@@ -274,10 +274,10 @@ def article_text(text: str, m: Model, host: str | None, only_kept: bool = True)
         return "\n".join(x for x, k in zip(lines, article(text, m, host)) if k)
     kind = _classify(lines, m, host)
     if PARA not in kind:
-        return "\n".join(x for x, k in zip(lines, kind) if k in (PARA, ITEM, SHORT, LINK))
+        return "\n".join(x for x, k in zip(lines, kind) if k in (ITEM, SHORT))
     keep = article(text, m, host)
-    first = kind.index(PARA)
-    return "\n".join(x for i, (x, k) in enumerate(zip(lines, kind)) if keep[i] or k == PARA or (k == SHORT and i >= first - 3))
+    last = max(i for i, k in enumerate(kind) if k == PARA)
+    return "\n".join(x for i, (x, k) in enumerate(zip(lines, kind)) if keep[i] or k == PARA or k == SHORT and i < last)
 
 
 def furniture(pages: DataFrame, key: str = "doc_id", text: str = "text", host: str = "host", model: Model | None = None) -> DataFrame:
