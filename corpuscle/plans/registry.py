@@ -2,9 +2,10 @@
 from __future__ import annotations
 
 from ..operators import timestamps
+from . import analysis_queries, corpus_queries
 
-QUERIES = {**timestamps.QUERIES}
-ORACLES: dict[str, str] = {}
+QUERIES = {**corpus_queries.Q, **analysis_queries.Q, **timestamps.QUERIES}
+ORACLES: dict[str, str] = {**corpus_queries.O, **analysis_queries.O}
 
 
 def queries():
@@ -16,4 +17,5 @@ def oracle_sql():
 
 
 def flagship(spark, sf):
-    return QUERIES["p7_found"](spark, sf)
+    """Documents to sentences to filters to labels to scores to means per context, in one plan."""
+    return QUERIES["context_means"](spark, sf)
