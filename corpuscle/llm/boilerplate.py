@@ -19,6 +19,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -34,6 +35,9 @@ SHARE, SIGMA = 0.001, 1.5
 _TAGLIKE = re.compile(r"[|·›»•☰►▸→]|\s{2,}\S|^\s*[*+]\s|…$")
 _END = re.compile(r"[.!?。！？।؟]['\"”»’)\]]*$")
 _LIST = re.compile(r"^\s*(?:[•*·‣▪\-–]\s+|\(?\d{1,2}[.)]\s+|[a-z][.)]\s+)")
+#: Longer lines are no notices, controls or links.
+LONG = 160
+_CRUMB = re.compile(r"^(?:home|accueil|inicio|startseite)\s*[/>»]", re.I)
 _SEPARATED = re.compile(r"\s*[|·•/›]\s*|\s{2,}|\t")
 
 CONTROL = re.compile(
@@ -98,7 +102,7 @@ def densities(lines: list[str]) -> np.ndarray:
         chars, tags = [p.chars[i] for i in range(len(lines))], [p.tags[i] for i in range(len(lines))]
     else:  # no tag can start: each line is one text event
         chars, tags = [len(x.strip()) for x in lines], [0] * len(lines)
-    return np.array([c / (1 + t + len(_TAGLIKE.findall(x))) for c, t, x in zip(chars, tags, lines)], dtype=float)
+    return np.array([c / (1 + t + (len(_TAGLIKE.findall(x)) if c <= LONG else 0)) for c, t, x in zip(chars, tags, lines)], dtype=float)
 
 
 def smooth(r: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -113,6 +117,7 @@ def regions(lines: list[str]) -> np.ndarray:
     return smooth(r) >= max(12.0, min(float(r.std()), 40.0))
 
 
+@lru_cache(maxsize=1 << 17)
 def mask(line: str, host: str | None) -> str:
     """A line with its numbers and the page owner's name masked, for counting."""
     s = re.sub(r"\d[\d.,]*", "9", " ".join(line.split()).lower())
@@ -163,35 +168,57 @@ def learn(pages: DataFrame, text: str = "text", host: str = "host") -> Model:
 BLANK, DROP, TEASER, LINK, PARA, ITEM, SHORT = range(7)
 
 
+@lru_cache(maxsize=1 << 17)
+def _family(line: str) -> int:
+    """What a line is by itself: a notice or control, a teaser header, a link, a list item, running text or short."""
+    s = line.strip()
+    if not s:
+        return BLANK
+    if len(s) > LONG:
+        return ITEM if _LIST.match(line) and not _paragraph(_LIST.sub("", line)) else PARA
+    if TEASERS.match(s):
+        return TEASER
+    if CONTROL.match(s) or NOTICE.match(s) or INLINE.match(s) or s[0] in "→►▸»" or "›" in s or _CRUMB.match(s):
+        return DROP
+    parts = [p for p in _SEPARATED.split(s) if p]
+    if len(parts) >= 3 and not _END.search(s) and sum(len(p.split()) <= 3 for p in parts) == len(parts):
+        return DROP
+    if _LIST.match(line):
+        return ITEM
+    if len(s) > 40 and s.endswith(("…", "...")) and len(s) < 130 and not re.search(r"[.!?] ", s):
+        return LINK
+    return PARA if _paragraph(s) else SHORT
+
+
 def _classify(lines: list[str], m: Model, host: str | None) -> list[int]:
     out = []
     for x in lines:
-        s = x.strip()
-        if not s:
-            out.append(BLANK)
-            continue
-        parts = [p for p in _SEPARATED.split(s) if p]
-        key = mask(s, host)
-        if TEASERS.match(s):
-            out.append(TEASER)
-        elif CONTROL.match(s) or NOTICE.match(s) or key == "@" or key in m.notices:
-            out.append(DROP)
-        elif INLINE.match(s) or s[0] in "→►▸»" or ("›" in s or re.match(r"^(?:home|accueil|inicio|startseite)\s*[/>»]", s, re.I)):
-            out.append(DROP)
-        elif len(parts) >= 3 and not _END.search(s) and sum(len(p.split()) <= 3 for p in parts) == len(parts):
-            out.append(DROP)
-        elif _LIST.match(x) and not (_paragraph(_LIST.sub("", x)) and len(s) > 160):
-            bare = mask(_LIST.sub("", x), host)
-            out.append(LINK if (key in m.common or bare in m.common) and m.common.get(key, m.common.get(bare, 0)) < 0.8 and len(bare.split()) <= 3 else ITEM)
-        elif len(s) > 40 and s.endswith(("…", "...")) and len(s) < 130 and not re.search(r"[.!?] ", s):
-            out.append(LINK)
-        elif _paragraph(s):
-            out.append(PARA)
-        else:
-            out.append(LINK if m.common.get(key, 1.0) < 0.5 and len(s.split()) <= 4 else SHORT)
+        k = _family(x)
+        if k in (ITEM, PARA, SHORT) and len(x) <= LONG:
+            key = mask(x.strip(), host)
+            if key == "@" or key in m.notices:
+                k = DROP
+            elif k == ITEM:
+                bare = mask(_LIST.sub("", x), host)
+                if len(bare.split()) <= 3 and m.common.get(key, m.common.get(bare, 1.0)) < 0.8:
+                    k = LINK
+            elif k == SHORT and len(key.split()) <= 4 and m.common.get(key, 1.0) < 0.5:
+                k = LINK
+        out.append(k)
     return out
 
 
+def plain_content(text: str) -> str | None:
+    """A long paragraph that is content beyond doubt, if the page has one."""
+    from .residue import judge
+
+    for x in text.split("\n"):
+        s = x.strip()
+        if len(s) > LONG and judge(s)[0] == "content":
+            return s
+    return None
+
+
 def article(text: str, m: Model, host: str | None) -> list[bool]:
     """Which lines belong to the page's own article."""
     lines = text.split("\n")
@@ -296,7 +323,7 @@ def furniture(pages: DataFrame, key: str = "doc_id", text: str = "text", host: s
                     continue
                 keep = article(t, m, h)
                 lines = t.split("\n")
-                if any(keep) and len(t) < 6000 and judge(article_text(t, m, h, False))[0] == "residue":
+                if any(keep) and not plain_content(t) and judge(article_text(t, m, h, False))[0] == "residue":
                     keep = [False] * len(lines)
                 for i, (x, k) in enumerate(zip(lines, keep)):
                     if not k and x.strip():
