@@ -7,8 +7,8 @@ masked) returned for several records of different hosts and titles.  A row has n
 actor and the title is the first line.
 
 Scale: texts are judged in a map over the scan; only short texts without an own sentence yield a skeleton, whose
-counts combine map-side.  Pages of the web platforms lose their furniture first (``boilerplate``), with the line
-statistics learned there.
+counts combine map-side.  Pages of the web platforms lose their furniture first
+(``boilerplate``) unless a long paragraph settles the matter.
 
 Defined results: null and blank texts are no case (they have nothing in place of content); a text that mentions
 such things in sentences of its own, or has a notice at its edge, is no case; repeated rows are judged alike.
@@ -70,8 +70,8 @@ ASIDE = re.compile(
     re.I,
 )
 WEAK = re.compile(r"\b(?:error|failed|unavailable|denied|expired|blocked|forbidden|invalid|missing|offline|restricted|log ?in|sign in|subscribe|members|javascript|cookies?|scripts?|browser|template|placeholder|untitled|draft)\b", re.I)
-_SENTENCE = re.compile(r"(?<=[.!?…。！？।؟])[\"”»’)]*\s+|(?<=[。！？।])|\n+")
-_WRAPPED = re.compile(r"(?<![.!?…:;。！？।؟])[^\S\n]*\n(?=[a-zà-ÿα-ωά-ώ])")
+#: Where a sentence ends; a line break inside wrapped running text is none.
+_SENTENCE = re.compile(r"(?<=[.!?…。！？।؟])[\"”»’)]*\s+|(?<=[。！？।])|(?<=[:;])\n+|\n[^\S\n]*\n\s*|\n(?![a-zà-ÿα-ωά-ώ])")
 _WORDS = re.compile(r"[^\W\d_]+")
 _DENSE = re.compile(r"[؀-ۿऀ-ॿ฀-๿぀-ヿ一-鿿가-힯Ͱ-ϿЀ-ӿ]")
 _FINAL = ".!?…。！？।؟;:\"”»’)“"
@@ -83,13 +83,20 @@ def _filler(words: list[str]) -> bool:
     return n >= 3 and (2 * sum(w in KEYS for w in words) > n or 5 * sum(w in LOREM for w in words) >= 3 * n)
 
 
+def _sentences(text: str) -> Iterator[str]:
+    at = 0
+    for m in _SENTENCE.finditer(text):
+        if m.start() > at:
+            yield text[at : m.end()].strip()
+        at = m.end()
+    yield text[at:].strip()
+
+
 def judge(text: str) -> tuple[str, str | None]:
     """('residue' | 'content' | 'weak' | 'none', skeleton of a weak text)."""
-    marked = own = 0
+    marked = total = 0
     weak = False
-    total = 0
-    for s in _SENTENCE.split(_WRAPPED.sub(" ", text)):
-        s = s.strip()
+    for s in _sentences(text):
         if not s:
             continue
         holes = PLACEHOLDER.findall(s)
@@ -98,20 +105,16 @@ def judge(text: str) -> tuple[str, str | None]:
         total += len(words)
         if holes and (len(holes) * 6 >= len(words) or len(words) <= 12 * min(len(holes), 1) or s.startswith("<!--")):
             marked += 1
-        elif _filler(words) or STRONG.search(s) and not (len(words) > 22):
+        elif _filler(words) or len(words) <= 22 and STRONG.search(s):
             marked += 1
         elif ASIDE.search(s) and len(words) <= 20:
             weak = True
         elif len(words) >= OWN_WORDS and s[-1] in _FINAL or len(_DENSE.findall(s)) >= 6:
-            own += 1
-            if own > 3 and len(text) > 600:
-                return "content", None
+            return "content", None  # one sentence of its own decides
         else:
             weak = weak or bool(WEAK.search(s))
-    if marked and not own:
+    if marked:
         return "residue", None
-    if own or not total:
-        return ("content" if own else "none"), None
     if weak and total <= SHORT_WORDS:
         return "weak", re.sub(r"\b[A-ZÀ-Þ]\w+|\w*\d\w*", "X", text)
     return "none", None
@@ -137,16 +140,15 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "body", host: str
 
 def bodies(spark: SparkSession, sf: str) -> DataFrame:
     """corpus with ``body``: the text without the furniture of web pages."""
-    from .boilerplate import WEB, article_text, learn
+    from .boilerplate import WEB, Model, article_text, plain_content
 
     docs = spread(table(spark, sf, "corpus").select("doc_id", "text", squash(F.col("actor")).alias("host"), squash(F.col("platform")).alias("platform")))
     docs = docs.withColumn("web", F.coalesce(F.col("platform").isin(*WEB), F.lit(False)))
-    shared = spark.sparkContext.broadcast(learn(docs.where("web"), "text", "host"))
 
     @F.pandas_udf("string")
     def strip(t: pd.Series, web: pd.Series, host: pd.Series) -> pd.Series:
-        m = shared.value
-        return pd.Series([article_text(x, m, h, False) if w and x else x for x, w, h in zip(t, web, host)], dtype=object)
+        m = Model({}, set())
+        return pd.Series([(plain_content(x) or article_text(x, m, h, False)) if w and x else x for x, w, h in zip(t, web, host)], dtype=object)
 
     return docs.select("doc_id", "host", strip("text", "web", "host").alias("body"))
 
