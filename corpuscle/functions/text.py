@@ -73,14 +73,19 @@ def likely_none(c, wc: Column) -> Column:
     return (wc <= SHORT_WORDS) & ~rlike(c, STRONG)
 
 
+def _number(c: str) -> Column:
+    """The number in a cell; 0 for anything else, 'nan' included."""
+    return F.nanvl(F.coalesce(F.expr(f"try_cast(trim({c}) AS double)"), F.lit(0.0)), F.lit(0.0))
+
+
 def to_bit(c) -> Column:
     """Dirty annotation cell: the integer part of a number, anything else 0 (values above 1 pass through)."""
-    return F.coalesce(F.expr(f"cast(try_cast(trim({c}) AS double) AS int)"), F.lit(0))
+    return F.coalesce(_number(c).try_cast("int"), F.lit(0))
 
 
 def to_bit_half(c) -> Column:
     """Dirty annotation cell: 1 from 0.5 on, anything else 0."""
-    return F.when(F.coalesce(F.expr(f"try_cast(trim({c}) AS double)"), F.lit(0.0)) >= 0.5, 1).otherwise(0)
+    return F.when(_number(c) >= 0.5, 1).otherwise(0)
 
 
 def key12(c) -> Column:
