@@ -80,6 +80,8 @@ def label(sentences: DataFrame, factory: Callable[[], Labeler], id_column: str =
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = factory()
         for pdf in pdfs:
+            if not len(pdf):
+                continue
             ids, labels, errors = [], [], []
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch]

@@ -155,7 +155,8 @@ def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str]], blocked: tuple
                     rows.append((u, status, None if status in blocked else body))
                 except Exception:  # noqa: BLE001
                     rows.append((u, None, None))
-            yield pd.DataFrame(rows, columns=["url", "status", "html"]).astype({"status": "Int32"})
+            if rows:
+                yield pd.DataFrame(rows, columns=["url", "status", "html"]).astype({"status": "Int32"})
 
     return urls.select("url").mapInPandas(run, "url string, status int, html string")
 
