@@ -329,7 +329,8 @@ def furniture(pages: DataFrame, key: str = "doc_id", text: str = "text", host: s
                     if not k and x.strip():
                         ids.append(d)
                         nos.append(i)
-            yield pd.DataFrame({key: ids, "line_no": pd.Series(nos, dtype="int32")})
+            if ids:
+                yield pd.DataFrame({key: ids, "line_no": pd.Series(nos, dtype="int32")})
 
     return pages.mapInPandas(run, f"{key} {dict(pages.dtypes)[key]}, line_no int")
 

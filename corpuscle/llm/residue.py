@@ -126,6 +126,8 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "body", host: str
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
+            if not len(pdf):
+                continue
             out = [judge(t) if t and not t.isspace() else ("none", None) for t in pdf[text]]
             yield pd.DataFrame({key: pdf[key], "host": pdf[host], "verdict": [v for v, _ in out], "skeleton": [s for _, s in out]})
 
