@@ -4,6 +4,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,3 +69,20 @@ def spread(df: DataFrame) -> DataFrame:
     (a Parquet file written as one row group is one task, however large); otherwise leave the scan as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores) if 0 < len(df.inputFiles()) < cores else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that workers need no shared PYTHONPATH."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="corpuscle-"), "corpuscle.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
