@@ -233,7 +233,7 @@ def article(text: str, m: Model, host: str | None) -> list[bool]:
     for i in paras:
         keep[i] = True
     first, last = paras[0], paras[-1]
-    heading = lambda i: m.common.get(mask(lines[i], host), 0.0) >= 0.5 and not _LIST.match(lines[i])
+    heading = lambda i: m.common.get(mask(lines[i], host), 0.0) >= 0.5 and not _LIST.match(lines[i]) and not re.search(r"\d", lines[i])
     nxt = {}
     follow = None
     for i in reversed(full):
