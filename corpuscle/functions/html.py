@@ -148,3 +148,9 @@ def preprint_id(url) -> Column:
     """Identifier address without its version suffix."""
     return F.regexp_replace(url, r"v\d+$", "")
 
+
+
+def exhibit(html, kind: str = "EX-99.1") -> Column:
+    """Link in the row of a filing index whose type cell is ``kind``."""
+    row = F.regexp_extract(html, rf"(?is)(<tr>(?:(?!</tr>).)*<td[^>]*>\s*{kind.replace('.', '[.]')}\s*</td>(?:(?!</tr>).)*</tr>)", 1)
+    return F.nullif(F.regexp_extract(row, r'href="([^"]+)"', 1), F.lit(""))

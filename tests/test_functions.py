@@ -78,6 +78,11 @@ def test_indexes(spark):
     assert one(spark, "http://x.example/abs/1234v2", html.preprint_id(F.col("v"))) == "http://x.example/abs/1234"
 
 
+def test_exhibit(spark):
+    page = '<table><tr><td>1</td><td>10-Q</td><td><a href="/a.htm">a</a></td></tr><tr><td>2</td><td>EX-99.1</td><td><a href="/b.htm">b</a></td></tr></table>'
+    assert one(spark, page, html.exhibit("v")) == "/b.htm" and one(spark, "<tr></tr>", html.exhibit("v")) is None
+
+
 def test_distributions():
     assert distributions.t_two_sided(2.228138852, 10) == pytest.approx(0.05, abs=1e-8)
     assert distributions.f_upper(3.49282848, 2, 20) == pytest.approx(0.05, abs=1e-7)
