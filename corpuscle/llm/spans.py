@@ -19,7 +19,6 @@ document; very long texts are hashed in overlapping chunks.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from ..session import cut, spread, table
 
 LENGTH = 200
 WINNOW = 65
-DEPTH, MIN_BITS, MAX_BITS, BLOCK = 3, 16, 24, 1 << 16
+DEPTH, MIN_BITS, MAX_BITS, BLOCK = 3, 16, 24, 1 << 20
 CHUNK = 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -60,16 +59,35 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def window_hashes(codes: np.ndarray, width: int, which: int) -> np.ndarray:
-    """Hash of every window of ``width`` code points (rolling, by prefix sums modulo 2**64)."""
-    if len(codes) < width:
-        return np.zeros(0, dtype=np.uint64)
-    base = _BASES[which]
-    up, down = _powers(base, len(codes) + 1)
-    x = _mix(codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 + which))
+_BMP: dict[int, np.ndarray] = {}
+
+
+def _letters(codes: np.ndarray, which: int) -> np.ndarray:
+    """A random 64-bit number for each code point."""
+    seed = np.uint64(0x9E3779B97F4A7C15 + which)
+    if which not in _BMP:
+        _BMP[which] = _mix(np.arange(1 << 16, dtype=np.uint64) + seed)
+    if len(codes) and int(codes.max()) >= 1 << 16:
+        return _mix(codes.astype(np.uint64) + seed)
+    return _BMP[which][codes]
+
+
+def prefixes(codes: np.ndarray, which: int) -> np.ndarray:
+    """Polynomial prefix sums modulo 2**64."""
+    up, _ = _powers(_BASES[which], len(codes) + 1)
     h = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum(x * up[: len(codes)], dtype=np.uint64, out=h[1:])
-    return _mix((h[width:] - h[:-width]) * down[: len(codes) - width + 1])
+    np.cumsum(_letters(codes, which) * up[: len(codes)], dtype=np.uint64, out=h[1:])
+    return h
+
+
+def window_hashes(h: np.ndarray, width: int, which: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hash of every window of ``width`` code points, or of those that start ``at``, from prefix sums."""
+    if len(h) <= width:
+        return np.zeros(0, dtype=np.uint64)
+    _, down = _powers(_BASES[which], len(h))
+    if at is None:
+        return _mix((h[width:] - h[:-width]) * down[: len(h) - width])
+    return _mix((h[at + width] - h[at]) * down[at])
 
 
 def _slide(a: np.ndarray, w: int, f) -> np.ndarray:
@@ -111,10 +129,10 @@ def _chunks(texts, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         yield np.concatenate(codes), np.array(rows), np.array(offs), np.array(starts)
 
 
-def _anchored(codes: np.ndarray, starts: np.ndarray, length: int, w: int):
+def _anchored(prefix: np.ndarray, starts: np.ndarray, length: int, w: int):
     """Hashes of all k-grams (the greatest number where one crosses two texts) and which are anchors."""
     k = length - w + 1
-    h = window_hashes(codes, k, 0) & ~np.uint64(1)  # the last bit is free for a mark
+    h = window_hashes(prefix, k, 0) & ~np.uint64(1)  # the last bit is free for a mark
     for s in starts[1:].tolist():
         h[max(0, s - k + 1) : s] = _TOP
     return h, anchors(h, w) & (h != _TOP)
@@ -124,6 +142,11 @@ def _cells(h: np.ndarray, depth: int, bits: int) -> np.ndarray:
     return (_mix(h ^ np.uint64(_SALTS[depth])) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _pack(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Cells counted once and cells counted more often."""
+    return np.flatnonzero(counts == 1).astype(np.uint32).tobytes(), np.flatnonzero(counts > 1).astype(np.uint32).tobytes()
+
+
 def sketch(df: DataFrame, text: str, bits: int, length: int = LENGTH, w: int = WINNOW) -> np.ndarray:
     """Merged count-min sketch as bits: DEPTH x 2**bits, set where at least two documents were counted."""
 
@@ -135,31 +158,40 @@ def sketch(df: DataFrame, text: str, bits: int, length: int = LENGTH, w: int = W
         sk = np.zeros((DEPTH, 1 << bits), dtype=np.uint8)
         for pdf in pdfs:
             for codes, rows, _offs, starts in _chunks(pdf[text], length):
-                h, sel = _anchored(codes, starts, length, w)
+                h, sel = _anchored(prefixes(codes, 0), starts, length, w)
                 at = np.flatnonzero(sel)
-                doc = rows[np.searchsorted(starts, at, side="right") - 1]
-                pair = np.unique(np.rec.fromarrays([h[at], doc], names="h,d"))  # once per document
+                doc, g = rows[np.searchsorted(starts, at, side="right") - 1], h[at]
+                order = np.lexsort((g, doc))
+                doc, g = doc[order], g[order]
+                g = g[np.append(True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]))] if len(g) else g  # once per document
                 for d in range(DEPTH):
-                    cell, n = np.unique(_cells(pair["h"], d, bits), return_counts=True)
-                    sk[d][cell] = np.minimum(2, sk[d][cell] + np.minimum(n, 2))
+                    cell = np.sort(_cells(g, d, bits))
+                    new = np.append(True, cell[1:] != cell[:-1]) if len(cell) else np.zeros(0, dtype=bool)
+                    cell, again = cell[new], cell[~new]
+                    sk[d][cell] = np.minimum(2, sk[d][cell] + 1)
+                    sk[d][again] = 2
         for d in range(DEPTH):
-            for b in range((1 << bits) // BLOCK):
-                block = sk[d][b * BLOCK : (b + 1) * BLOCK]
-                if block.any():
-                    yield pd.DataFrame({"d": [d], "b": [b], "salt": [part % 32], "data": [zlib.compress(block.tobytes(), 1)]})
+            for b in range(-(-(1 << bits) // BLOCK)):
+                row = _pack(sk[d][b * BLOCK : (b + 1) * BLOCK])
+                if row[0] or row[1]:
+                    yield pd.DataFrame({"d": [d], "b": [b], "salt": [part % 32], "ones": [row[0]], "more": [row[1]]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(BLOCK, dtype=np.uint8)
-        for data in pdf["data"]:
-            total = np.minimum(2, total + np.frombuffer(zlib.decompress(data), dtype=np.uint8))
-        return pd.DataFrame({"d": pdf["d"].iloc[:1], "b": pdf["b"].iloc[:1], "salt": [0], "data": [zlib.compress(total.tobytes(), 1)]})
-
-    shape = "d int, b int, salt int, data binary"
+        total = np.zeros(min(BLOCK, 1 << bits), dtype=np.uint8)
+        for ones, more in zip(pdf["ones"], pdf["more"]):
+            one = np.frombuffer(ones, dtype=np.uint32)
+            total[one] = np.minimum(2, total[one] + 1)
+            total[np.frombuffer(more, dtype=np.uint32)] = 2
+        row = _pack(total)
+        return pd.DataFrame({"d": pdf["d"].iloc[:1], "b": pdf["b"].iloc[:1], "salt": [0], "ones": [row[0]], "more": [row[1]]})
+
+    shape = "d int, b int, salt int, ones binary, more binary"
     parts = df.select(text).mapInPandas(count, shape)
-    merged = parts.groupBy("d", "b", "salt").applyInPandas(add, shape).groupBy("d", "b").applyInPandas(add, shape)
+    merged = parts.groupBy("d", "b", "salt").applyInPandas(add, shape).groupBy("d", "b").applyInPandas(add, shape).select("d", "b", "more")
     out = np.zeros((DEPTH, (1 << bits) // 8), dtype=np.uint8)
     for r in merged.collect():  # at most DEPTH * 2**bits / BLOCK rows
-        block = np.frombuffer(zlib.decompress(bytes(r["data"])), dtype=np.uint8) >= 2
+        block = np.zeros(min(BLOCK, 1 << bits), dtype=bool)
+        block[np.frombuffer(bytes(r["more"]), dtype=np.uint32)] = True
         out[r["d"], r["b"] * BLOCK // 8 : (r["b"] + 1) * BLOCK // 8] = np.packbits(block, bitorder="little")
     return out
 
@@ -174,11 +206,11 @@ def repeated_windows(df: DataFrame, key: str, text: str, length: int = LENGTH, w
 
     def emit(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = shared.value
-        k = length - w + 1
         for pdf in pdfs:
             ids = pdf[key].to_numpy()
             for codes, rows, offs, starts in _chunks(pdf[text], length):
-                h, sel = _anchored(codes, starts, length, w)
+                first = prefixes(codes, 0)
+                h, sel = _anchored(first, starts, length, w)
                 at = np.flatnonzero(sel)
                 often = np.ones(len(at), dtype=bool)
                 for d in range(DEPTH):
@@ -193,7 +225,7 @@ def repeated_windows(df: DataFrame, key: str, text: str, length: int = LENGTH, w
                 pos, piece = pos[inside], piece[inside]
                 if not len(pos):
                     continue
-                h1, h2 = window_hashes(codes, length, 0)[pos], window_hashes(codes, length, 1)[pos]
+                h1, h2 = window_hashes(first, length, 0, pos), window_hashes(prefixes(codes, 1), length, 1, pos)
                 yield pd.DataFrame({
                     key: ids[rows[piece]], "pos": (pos - starts[piece] + offs[piece]).astype(np.int64), "h1": h1.view(np.int64), "h2": h2.view(np.int64),
                 })
