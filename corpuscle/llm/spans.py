@@ -5,7 +5,8 @@ Method: a count-min prefilter.  Each text is reduced to anchors, the k-grams tha
 anchor.  Every task counts its anchors in a sketch; the merged sketch never underestimates, so an anchor counted
 once is certainly unique.  The second pass hashes only the windows of full length whose least k-gram is not certainly
 unique, at all their positions, and groups those exactly (two independent 64-bit hashes) by the documents they occur
-in; no shared window is lost.
+in; no shared window is lost.  Windows with the same least k-gram go through the grouping together, and are taken
+apart only at the ends of copies.
 
 Scale: both passes are maps over the scan.  Sketches are merged in two levels and end as a bit set of at most
 ``DEPTH * 2**MAX_BITS / 8`` bytes (6 MB) for the tasks.  Grouping keeps the least and greatest doc_id of a window,
@@ -80,12 +81,12 @@ def prefixes(codes: np.ndarray, which: int) -> np.ndarray:
     return h
 
 
-def window_hashes(h: np.ndarray, width: int, which: int, at: np.ndarray | None = None) -> np.ndarray:
+def window_hashes(h: np.ndarray, width: int | np.ndarray, which: int, at: np.ndarray | None = None) -> np.ndarray:
     """Hash of every window of ``width`` code points, or of those that start ``at``, from prefix sums."""
-    if len(h) <= width:
-        return np.zeros(0, dtype=np.uint64)
     _, down = _powers(_BASES[which], len(h))
     if at is None:
+        if len(h) <= width:
+            return np.zeros(0, dtype=np.uint64)
         return _mix((h[width:] - h[:-width]) * down[: len(h) - width])
     return _mix((h[at + width] - h[at]) * down[at])
 
@@ -196,56 +197,116 @@ def sketch(df: DataFrame, text: str, bits: int, length: int = LENGTH, w: int = W
     return out
 
 
-def repeated_windows(df: DataFrame, key: str, text: str, length: int = LENGTH, w: int = WINNOW) -> DataFrame:
-    """(key, pos) of every window of ``length`` that occurs in another document too."""
-    base = spread(df.select(key, text).where(F.length(text) >= length))
-    chars = base.agg(F.coalesce(F.sum(F.length(text).cast("bigint")), F.lit(0))).first()[0]
-    bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(8 * chars * 2 / (w + 1) + 1))))
-    shared = df.sparkSession.sparkContext.broadcast(sketch(base, text, bits, length, w))
+def _runs(df: DataFrame, key: str, text: str, seen: np.ndarray, bits: int, length: int, w: int) -> DataFrame:
+    """Stretches of windows whose least k-gram is estimated repeated: at most ``w`` consecutive windows with the same
+    least k-gram make one row (its hash, two hashes of the text they cover, that text)."""
     kind = dict(df.dtypes)[key]
+    shared = df.sparkSession.sparkContext.broadcast(seen)
 
     def emit(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = shared.value
+        bitset = shared.value
         for pdf in pdfs:
-            ids = pdf[key].to_numpy()
-            for codes, rows, offs, starts in _chunks(pdf[text], length):
+            ids, texts = pdf[key].to_numpy(), pdf[text].tolist()
+            for codes, rows, offs, starts in _chunks(texts, length):
                 first = prefixes(codes, 0)
                 h, sel = _anchored(first, starts, length, w)
+                if len(h) < w:
+                    continue
                 at = np.flatnonzero(sel)
                 often = np.ones(len(at), dtype=bool)
                 for d in range(DEPTH):
                     c = _cells(h[at], d, bits)
-                    often &= (seen[d][c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool)
+                    often &= (bitset[d][c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool)
                 # the least k-gram of a window is an anchor in every copy of it: its estimate decides for the window
                 h[at[often]] |= np.uint64(1)
-                pos = np.flatnonzero(_slide(h, w, np.minimum) & np.uint64(1)) if len(h) >= w else at[:0]
+                low = _slide(h, w, np.minimum)
+                pos = np.flatnonzero(low & np.uint64(1))
                 piece = np.searchsorted(starts, pos, side="right") - 1
-                ends = np.append(starts[1:], len(codes))
-                inside = pos + length <= ends[piece]
+                inside = pos + length <= np.append(starts[1:], len(codes))[piece]
                 pos, piece = pos[inside], piece[inside]
                 if not len(pos):
                     continue
-                h1, h2 = window_hashes(first, length, 0, pos), window_hashes(prefixes(codes, 1), length, 1, pos)
+                least = low[pos]
+                fresh = np.append(True, (pos[1:] != pos[:-1] + 1) | (least[1:] != least[:-1]) | (piece[1:] != piece[:-1]))
+                begin = np.flatnonzero(fresh)
+                since = np.arange(len(pos)) - np.repeat(begin, np.diff(np.append(begin, len(pos))))
+                begin = np.flatnonzero(since % w == 0)
+                m = np.diff(np.append(begin, len(pos)))
+                pos, piece, least = pos[begin], piece[begin], least[begin]
+                second = prefixes(codes, 1)
+                size = m.astype(np.uint64)
+                h1 = _mix(window_hashes(first, m + length - 1, 0, pos) + size)
+                h2 = _mix(window_hashes(second, m + length - 1, 1, pos) + size)
+                local, row = pos - starts[piece] + offs[piece], rows[piece]
                 yield pd.DataFrame({
-                    key: ids[rows[piece]], "pos": (pos - starts[piece] + offs[piece]).astype(np.int64), "h1": h1.view(np.int64), "h2": h2.view(np.int64),
+                    key: ids[row], "pos": local.astype(np.int64), "m": m.astype(np.int32), "least": least.view(np.int64), "h1": h1.view(np.int64), "h2": h2.view(np.int64),
+                    "piece": [texts[r][o : o + k + length - 1] for r, o, k in zip(row.tolist(), local.tolist(), m.tolist())],
                 })
 
-    found = cut(base.mapInPandas(emit, f"{key} {kind}, pos bigint, h1 bigint, h2 bigint"))
-    groups = found.groupBy("h1", "h2").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("h1", "h2")
-    return found.join(groups, ["h1", "h2"], "left_semi").select(key, "pos")
+    return df.mapInPandas(emit, f"{key} {kind}, pos bigint, m int, least bigint, h1 bigint, h2 bigint, piece string")
+
+
+def _explode(runs: DataFrame, key: str, length: int) -> DataFrame:
+    """Every window of the runs with its own hashes."""
+    kind = dict(runs.dtypes)["lo"]
+
+    def each(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for at in range(0, len(pdf), 4000):
+                part = pdf.iloc[at : at + 4000]
+                codes = np.frombuffer("".join(part["piece"]).encode("utf-32-le"), dtype=np.uint32)
+                m = part["m"].to_numpy().astype(np.int64)
+                begin = np.cumsum(m + length - 1) - (m + length - 1)
+                off = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                pos = np.repeat(begin, m) + off
+                rep = lambda c: np.repeat(part[c].to_numpy(), m)  # noqa: B023, E731
+                yield pd.DataFrame({
+                    "h1": rep("h1"), "h2": rep("h2"), "off": off, "lo": rep("lo"), "hi": rep("hi"),
+                    "w1": window_hashes(prefixes(codes, 0), length, 0, pos).view(np.int64), "w2": window_hashes(prefixes(codes, 1), length, 1, pos).view(np.int64),
+                })
+
+    return runs.select("h1", "h2", "m", "piece", "lo", "hi").mapInPandas(each, f"h1 bigint, h2 bigint, off bigint, lo {kind}, hi {kind}, w1 bigint, w2 bigint")
+
+
+def shared_runs(df: DataFrame, key: str, text: str, length: int = LENGTH, w: int = WINNOW) -> DataFrame:
+    """(key, pos, m): the windows of ``length`` that start at pos .. pos + m - 1 occur in another document too.
+
+    Runs with the same text in two documents are shared whole.  What is left are the ends of copies, where a run has
+    a text of its own: those runs, and one representative of each other run with the same least k-gram, are taken
+    apart into windows, which are grouped exactly."""
+    base = spread(df.select(key, text).where(F.length(text) >= length))
+    chars = base.agg(F.coalesce(F.sum(F.length(text).cast("bigint")), F.lit(0))).first()[0]
+    bits = min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(8 * chars * 2 / (w + 1) + 1))))
+    runs = cut(_runs(base, key, text, sketch(base, text, bits, length, w), bits, length, w))
+    groups = cut(runs.groupBy("h1", "h2").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.first("least").alias("least"), F.first("m").alias("m"), F.first("piece").alias("piece")))
+    alone = F.col("lo") == F.col("hi")
+    open_ = groups.groupBy("least").agg(F.count(F.lit(1)).alias("n"), F.count_if(alone).alias("own")).where("n > 1 and own > 0").select("least")
+    windows = cut(_explode(groups.join(open_, "least", "left_semi"), key, length))
+    twice = windows.groupBy("w1", "w2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("w1", "w2")
+    part = windows.where("lo = hi").join(twice, ["w1", "w2"], "left_semi").select("h1", "h2", "off")
+    whole = runs.join(groups.where(~alone).select("h1", "h2"), ["h1", "h2"], "left_semi").select(key, "pos", "m")
+    ends = runs.select(key, "pos", "h1", "h2").join(part, ["h1", "h2"]).select(key, (F.col("pos") + F.col("off")).alias("pos"), F.lit(1).alias("m"))
+    return whole.unionByName(ends)
+
+
+def repeated_windows(df: DataFrame, key: str, text: str, length: int = LENGTH, w: int = WINNOW) -> DataFrame:
+    """(key, pos) of every window of ``length`` that occurs in another document too."""
+    runs = shared_runs(df, key, text, length, w)
+    return runs.select(key, F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("m") - 1)).alias("pos")).distinct()
 
 
-def spans(windows: DataFrame, key: str, length: int = LENGTH) -> DataFrame:
-    """(key, start, n_chars): maximal runs covered by shared windows."""
-    w = W.partitionBy(key).orderBy("pos")
-    runs = windows.distinct().withColumn("new", F.when(F.col("pos") > F.lag("pos").over(w) + length, 1).when(F.lag("pos").over(w).isNull(), 1).otherwise(0))
-    runs = runs.withColumn("run", F.sum("new").over(w))
-    g = runs.groupBy(key, "run").agg(F.min("pos").alias("start"), F.max("pos").alias("last"))
+def spans(runs: DataFrame, key: str, length: int = LENGTH) -> DataFrame:
+    """(key, start, n_chars): maximal stretches covered by shared windows."""
+    w = W.partitionBy(key).orderBy("pos", "m")
+    last = runs.select(key, "pos", "m", (F.col("pos") + F.col("m") - 1).alias("last"))
+    reach = F.max("last").over(w.rowsBetween(W.unboundedPreceding, -1))
+    marked = last.withColumn("new", F.when(reach.isNull() | (F.col("pos") > reach + length), 1).otherwise(0))
+    g = marked.withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0))).groupBy(key, "run").agg(F.min("pos").alias("start"), F.max("last").alias("last"))
     return g.select(key, "start", (F.col("last") + length - F.col("start")).alias("n_chars"))
 
 
 def _windows(spark: SparkSession, sf: str) -> DataFrame:
-    return repeated_windows(table(spark, sf, "documents"), "doc_id", "text")
+    return shared_runs(table(spark, sf, "documents"), "doc_id", "text")
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -91,7 +91,7 @@ def test_shared_windows_match_brute_force(spark):
     got = {(r.doc_id, r.pos) for r in spans.repeated_windows(df, "doc_id", "text", 40, 13).collect()}
     assert got == brute_windows(docs, 40)
     total = {r.doc_id: 0 for r in df.collect()}
-    for r in spans.spans(spans.repeated_windows(df, "doc_id", "text", 40, 13), "doc_id", 40).collect():
+    for r in spans.spans(spans.shared_runs(df, "doc_id", "text", 40, 13), "doc_id", 40).collect():
         total[r.doc_id] += r.n_chars
     want = {d: len({j for dd, i in got if dd == d for j in range(i, i + 40)}) for d in total}
     assert total == want
