@@ -188,7 +188,9 @@ def sketch(df: DataFrame, text: str, bits: int, length: int = LENGTH, w: int = W
 
     shape = "d int, b int, salt int, ones binary, more binary"
     parts = df.select(text).mapInPandas(count, shape)
-    merged = parts.groupBy("d", "b", "salt").applyInPandas(add, shape).groupBy("d", "b").applyInPandas(add, shape).select("d", "b", "more")
+    if df.rdd.getNumPartitions() > 64:  # else one level holds few enough sketches a task
+        parts = parts.groupBy("d", "b", "salt").applyInPandas(add, shape)
+    merged = parts.groupBy("d", "b").applyInPandas(add, shape).select("d", "b", "more")
     out = np.zeros((DEPTH, (1 << bits) // 8), dtype=np.uint8)
     for r in merged.collect():  # at most DEPTH * 2**bits / BLOCK rows
         block = np.zeros(min(BLOCK, 1 << bits), dtype=bool)
