@@ -39,7 +39,11 @@ def collapse(c) -> Column:
 
 def word_count(c) -> Column:
     """Blank-separated tokens; 0 for null and blank."""
-    return F.coalesce(F.size(F.filter(F.split(c, BLANK), lambda x: x != "")), F.lit(0))
+    return F.coalesce(F.regexp_count(c, F.lit(r"[^\s\p{Z}]+")), F.lit(0))
+
+
+def has_text(c) -> Column:
+    return F.coalesce(F.col(c).rlike(r"[^\s\p{Z}]"), F.lit(False))
 
 
 def sentences(c) -> Column:

@@ -19,7 +19,7 @@ def dimension(dim_actor: DataFrame) -> DataFrame:
 def enrich(raw: DataFrame, dim_actor: DataFrame) -> DataFrame:
     """Rows of known actors and contexts with text: canonical actor, platform default, break flag, word count."""
     context, platform = squash(F.col("context")), squash(F.col("platform"))
-    rows = raw.select(
+    rows = raw.where(text.has_text("text")).select(
         "doc_id",
         squash(F.col("actor")).alias("actor_key"),
         context.alias("context"),
@@ -28,7 +28,7 @@ def enrich(raw: DataFrame, dim_actor: DataFrame) -> DataFrame:
         dates.after_break("date").cast("smallint").alias("post_chatgpt"),
         text.word_count("text").alias("word_count"),
         "text",
-    ).where(F.col("context").isin(*S.CONTEXTS) & (F.col("word_count") > 0))
+    ).where(F.col("context").isin(*S.CONTEXTS))
     return rows.join(small(dimension(dim_actor)), "actor_key").select(*[c for c in S.columns(S.CORPUS)])
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import small
+from ..session import cut, small
 
 
 def key(seed: int, id_column: str = "sentence_id"):
@@ -28,7 +28,7 @@ def quota(pool: DataFrame, stratum: str, quotas: dict[str, int], tier: str, tier
     n = F.lit(None).cast("int")
     for s, q in quotas.items():
         n = F.when(F.col(stratum) == s, q).otherwise(n)
-    rows = pool.where(F.col(stratum).isin(*quotas)).withColumn("_tier", F.col(tier).cast("int"))
+    rows = cut(pool.where(F.col(stratum).isin(*quotas)).withColumn("_tier", F.col(tier).cast("int")))
     rows = _nearest(rows, [stratum, "_tier"], max(quotas.values()), seed)
     need = F.greatest(F.ceil(n * tier_share), F.lit(1))
     r = F.row_number().over(W.partitionBy(stratum, "_tier").orderBy(key(seed), "sentence_id"))
@@ -39,7 +39,7 @@ def quota(pool: DataFrame, stratum: str, quotas: dict[str, int], tier: str, tier
 
 def disjoint_sets(pool: DataFrame, stratum: str, per_stratum: int, names: list[str], seed: int) -> DataFrame:
     """One ranking per stratum: ranks 1..n are the first set, n+1..2n the second, and so on: disjoint by construction."""
-    near = _nearest(pool, [stratum], per_stratum * len(names), seed)
+    near = _nearest(cut(pool), [stratum], per_stratum * len(names), seed)
     r = F.row_number().over(W.partitionBy(stratum).orderBy(key(seed), "sentence_id"))
     ranked = near.withColumn("rank", r).where(F.col("rank") <= per_stratum * len(names))
     slot = ((F.col("rank") - 1) / per_stratum).cast("int")

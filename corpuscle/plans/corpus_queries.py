@@ -306,14 +306,14 @@ _QUOTA = "CASE context " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in STRATA.it
   f AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY pref, h, sentence_id) AS rank FROM p)
 SELECT sentence_id, context, rank FROM f WHERE rank <= n""")
 def overlap_sample(s, sf):
-    return sampling.quota(pool(s, sf), "context", STRATA, "likely_none", 0.15, SEED).select("sentence_id", "context", F.col("rank").cast("bigint").alias("rank"))
+    return sampling.quota(pool(s, sf).select("sentence_id", "context", "likely_none"), "context", STRATA, "likely_none", 0.15, SEED).select("sentence_id", "context", F.col("rank").cast("bigint").alias("rank"))
 
 
 _GOLD = f"""WITH {POOL}, f AS (SELECT sentence_id, context, row_number() OVER (PARTITION BY context ORDER BY md5(sentence_id || '|{SEED}'), sentence_id) AS rank FROM pool)"""
 
 
 def _gold(s, sf):
-    return sampling.disjoint_sets(pool(s, sf), "context", 100, ["A", "B"], SEED).select("sentence_id", "context", "annotator", F.col("rank").cast("bigint").alias("rank"))
+    return sampling.disjoint_sets(pool(s, sf).select("sentence_id", "context"), "context", 100, ["A", "B"], SEED).select("sentence_id", "context", "annotator", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("gold_a", _GOLD + "SELECT sentence_id, context, rank FROM f WHERE rank <= 100")
