@@ -102,7 +102,7 @@ def densities(lines: list[str]) -> np.ndarray:
         chars, tags = [p.chars[i] for i in range(len(lines))], [p.tags[i] for i in range(len(lines))]
     else:  # no tag can start: each line is one text event
         chars, tags = [len(x.strip()) for x in lines], [0] * len(lines)
-    return np.array([c / (1 + t + (len(_TAGLIKE.findall(x)) if c <= LONG else 0)) for c, t, x in zip(chars, tags, lines)], dtype=float)
+    return np.array([c / (1 + t + (len(_TAGLIKE.findall(x.strip())) if 0 < c <= LONG else 0)) for c, t, x in zip(chars, tags, lines)], dtype=float)
 
 
 def smooth(r: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -227,7 +227,8 @@ def article(text: str, m: Model, host: str | None) -> list[bool]:
     full = [i for i, k in enumerate(kind) if k != BLANK]
     crumbs = [lines[i].split("›")[-1].strip().rstrip("…").strip() for i in full if "›" in lines[i]]
     inside = regions(lines)
-    paras = [i for i in full if kind[i] == PARA and (inside[i] or len(lines[i].strip()) >= 40 or kind.count(PARA) == 1)]
+    only = kind.count(PARA) == 1
+    paras = [i for i in full if kind[i] == PARA and (inside[i] or len(lines[i].strip()) >= 40 or only)]
     if not paras:
         return keep
     for i in paras:

@@ -153,3 +153,16 @@ def test_extract(spark):
     df = spark.createDataFrame([("a", ">> Ana Vane: One.\n>> Tarr: Two."), ("b", None), ("c", "")], "doc_id string, text string").selectExpr("*", "'x' as speaker")
     assert sorted((r.doc_id, r.turn_no, r.line_no, r.speaker, r.speech) for r in X.extract(df).collect()) == [("a", 0, 0, "vane", "One."), ("a", 1, 1, "tarr", "Two.")]
     assert X.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["One more sentence is here. ", "1. Item here.\n", '"', "“x ", "a", " ", "\n", "Ana: hi\n", "[00:00:01] Ana Vane: hi\n", "{{x}} ", "lorem ipsum ", "ไทย "])
+def test_very_long_texts(unit):
+    import time
+
+    text = unit * (100_000 // len(unit))
+    began = time.time()
+    assert P.units(text, MODEL) is not None
+    R.judge(text)
+    X.turns(text)
+    B.article(text, B.Model({}, set()), "acme")
+    assert time.time() - began < 60
