@@ -190,10 +190,19 @@ def _family(line: str) -> int:
     return PARA if _paragraph(s) else SHORT
 
 
-def _classify(lines: list[str], m: Model, host: str | None) -> list[int]:
+@lru_cache(maxsize=1 << 16)
+def _message(line: str) -> bool:
+    """Whether a line by itself is, or may be, a message in place of content."""
+    from .residue import judge
+
+    return judge(line.strip())[0] in ("residue", "weak")
+
+
+def _classify(lines: list[str], m: Model, host: str | None, judging: bool = False) -> list[int]:
+    """What each line is; for ``judging`` a page, messages stay what they are however many pages have them."""
     out = []
     for x in lines:
-        k = _family(x)
+        k = alone = _family(x)
         if k in (ITEM, PARA, SHORT) and len(x) <= LONG:
             key = mask(x.strip(), host)
             if key == "@" or key in m.notices:
@@ -204,6 +213,8 @@ def _classify(lines: list[str], m: Model, host: str | None) -> list[int]:
                     k = LINK
             elif k == SHORT and len(key.split()) <= 4 and m.common.get(key, 1.0) < 0.5:
                 k = LINK
+            if judging and k != alone and key != "@" and _message(x):
+                k = alone
         out.append(k)
     return out
 
@@ -300,7 +311,7 @@ def article_text(text: str, m: Model, host: str | None, only_kept: bool = True)
     lines = text.split("\n")
     if only_kept:
         return "\n".join(x for x, k in zip(lines, article(text, m, host)) if k)
-    kind = _classify(lines, m, host)
+    kind = _classify(lines, m, host, judging=True)
     if PARA not in kind:
         return "\n".join(x for x, k in zip(lines, kind) if k in (ITEM, SHORT))
     keep = article(text, m, host)

@@ -8,7 +8,7 @@ actor and the title is the first line.
 
 Scale: texts are judged in a map over the scan; only short texts without an own sentence yield a skeleton, whose
 counts combine map-side.  Pages of the web platforms lose their furniture first
-(``boilerplate``) unless a long paragraph settles the matter.
+(``boilerplate``, with the line statistics learned there) unless a long paragraph settles the matter.
 
 Defined results: null and blank texts are no case (they have nothing in place of content); a text that mentions
 such things in sentences of its own, or has a notice at its edge, is no case; repeated rows are judged alike.
@@ -142,14 +142,15 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "body", host: str
 
 def bodies(spark: SparkSession, sf: str) -> DataFrame:
     """corpus with ``body``: the text without the furniture of web pages."""
-    from .boilerplate import WEB, Model, article_text, plain_content
+    from .boilerplate import WEB, article_text, learn, plain_content
 
     docs = spread(table(spark, sf, "corpus").select("doc_id", "text", squash(F.col("actor")).alias("host"), squash(F.col("platform")).alias("platform")))
     docs = docs.withColumn("web", F.coalesce(F.col("platform").isin(*WEB), F.lit(False)))
+    shared = spark.sparkContext.broadcast(learn(docs.where("web"), "text", "host"))
 
     @F.pandas_udf("string")
     def strip(t: pd.Series, web: pd.Series, host: pd.Series) -> pd.Series:
-        m = Model({}, set())
+        m = shared.value
         return pd.Series([(plain_content(x) or article_text(x, m, h, False)) if w and x else x for x, w, h in zip(t, web, host)], dtype=object)
 
     return docs.select("doc_id", "host", strip("text", "web", "host").alias("body"))
