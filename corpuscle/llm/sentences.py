@@ -3,8 +3,10 @@
 Method: a first pass learns, per language and without labels, what a word with a final period is.  Each word type is
 counted by what follows it (a lower-case word, a digit, a capital, the end of a paragraph); a binomial
 log-likelihood ratio against the language's usual share of paragraph ends tells abbreviations from words that end
-sentences, words that follow numbers with a period (ordinals, dates) are found as collocations, and words that begin
-paragraphs as sentence starters.  A second pass classifies each terminator with these statistics.
+sentences.  Log-likelihood ratios of pairs find the capitals that belong to a number or abbreviation before them
+(collocations, which also must stand there more often than elsewhere) and the words that begin sentences, from their
+share after ends beyond doubt (paragraphs, ``?``, ``!``); their cases are the capitals, in scripts without case all
+words.  All tests use the counts of the whole corpus.  A second pass classifies each terminator with these statistics.
 
 Scale: both passes are maps over the scan; the counts are combined per batch, then in one aggregation.  Only the
 types that pass the tests (abbreviations, collocates, starters: ``MAX_TYPES`` are accepted) travel to the tasks.
@@ -29,7 +31,7 @@ from ..session import spread, squash, table
 
 PLATFORMS = ("speech", "research_paper")
 MAX_TYPES = 200_000
-LL_ABBREVIATION, LL_STARTER = 7.88, 30.0
+LL_ABBREVIATION, LL_COLLOCATION, LL_STARTER = 7.88, 7.88, 30.0
 
 _SCRIPTS = [
     ("th", re.compile(r"[฀-๿]")), ("hi", re.compile(r"[ऀ-ॿ]")), ("ar", re.compile(r"[؀-ۿ]")),
@@ -72,6 +74,8 @@ _TOKEN = re.compile(rf"{_L}+(?:[.'’\-]{_L}+)*$|\d[\d.,]*$")
 _NEXT = re.compile(rf"{_L}+(?:['’\-]{_L}+)*|\d+")
 _MARK = re.compile(r"(?:[-*•–—·◦▪]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])[^\S\n]+(?=\S)")
 _FULL = "。！？｡।॥؟۔"
+_SURE = frozenset("!?؟")  # after these a sentence begins, whatever is learned
+_CASELESS = ("ar", "hi", "ko")  # scripts with blanks between words but without capitals
 
 
 def _plain(text: str) -> str:
@@ -171,10 +175,13 @@ def observe(text: str, counts: Counter, pairs: Counter) -> None:
         first = _follow(par, items[0][1] if items and items[0][0] == 0 else 0)
         if first:
             counts[lang, "s", first] += 1
+        caseless = lang in _CASELESS
         for w in _NEXT.findall(par):
-            if w[0].isupper():
+            if w[0].isupper() or caseless:
                 counts[lang, "w", w] += 1
         for s, e, ends, quoted, nxt in _candidates(par, lang):
+            if not quoted and nxt > e and nxt not in marks and set(ends) <= _SURE and (follow := _follow(par, nxt)) and (caseless or _kind(follow) == "u"):
+                counts[lang, "s", follow] += 1
             if quoted or ends != "." or nxt in marks:
                 continue
             w = _before(par, s)
@@ -197,11 +204,21 @@ def _ll(k: int, n: int, p: float) -> float:
     return 2 * ((k * math.log(q / p) if k else 0.0) + ((n - k) * math.log((1 - q) / (1 - p)) if k < n else 0.0))
 
 
+def _association(a, b, ab, n):
+    """Twice the log-likelihood ratio of ``ab`` common cases of two events with ``a`` and ``b`` cases among ``n``;
+    0 where they meet less often than by chance.  Columns."""
+    a, b, ab, n = (c.cast("double") for c in (a, b, ab, n))
+    part = lambda k, row, col: F.when(k > 0, k * F.log(k * n / (row * col))).otherwise(0.0)
+    both = part(ab, a, b) + part(a - ab, a, n - b) + part(b - ab, n - a, b) + part(n - a - b + ab, n - a, n - b)
+    return F.when(ab * n > a * b, 2 * both).otherwise(0.0)
+
+
 class Model:
-    """abbr: {(lang, type): may end a sentence}; collocates: {(lang, word after a numbered period)}; starters."""
+    """abbr: {(lang, type): may end a sentence}; collocates: {(lang, word after a numbered period)}; starters;
+    pairs: {(lang, abbreviation, capital that belongs to it)}."""
 
-    def __init__(self, abbr, collocates, starters):
-        self.abbr, self.collocates, self.starters = abbr, collocates, starters
+    def __init__(self, abbr, collocates, starters, pairs=frozenset()):
+        self.abbr, self.collocates, self.starters, self.pairs = abbr, collocates, starters, pairs
 
 
 def learn(docs: DataFrame, text: str = "text") -> Model:
@@ -211,24 +228,45 @@ def learn(docs: DataFrame, text: str = "text") -> Model:
             for t in pdf[text]:
                 if t and not t.isspace():
                     observe(t, c, pairs)
-            for (lang, w, follow), k in pairs.items():  # capitals after a short word: names, or what begins sentences?
-                if c[lang, "s", follow] >= 2:
-                    c[lang, "t", w] += k
             if c:
-                yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["lang", "kind", "word", "n"])
+                rows = [(*k, "", n) for k, n in c.items()] + [(lang, "p", w, follow, n) for (lang, w, follow), n in pairs.items()]
+                yield pd.DataFrame(rows, columns=["lang", "kind", "word", "follow", "n"])
+
+    n = docs.select(text).mapInPandas(count, "lang string, kind string, word string, follow string, n bigint")
+    n = n.groupBy("lang", "word", "kind", "follow").agg(F.sum("n").alias("n")).persist()
+    try:
+        return _fit(n)
+    finally:
+        n.unpersist()
+
 
-    n = docs.select(text).mapInPandas(count, "lang string, kind string, word string, n bigint")
-    n = n.groupBy("lang", "word", "kind").agg(F.sum("n").alias("n"))
-    wide = n.groupBy("lang", "word").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in "eldcusmwot"])
+def _collect(df: DataFrame) -> list:
+    rows = df.limit(MAX_TYPES + 1).collect()
+    if len(rows) > MAX_TYPES:
+        raise ValueError("more candidates than MAX_TYPES")
+    return rows
+
+
+def _fit(n: DataFrame) -> Model:
+    """The model from the counts of the whole corpus."""
+    wide = n.where("kind != 'p'").groupBy("lang", "word").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in "eldcusmwo"])
     wide = wide.withColumn("all", F.col("e") + F.col("l") + F.col("d") + F.col("c") + F.col("u") + F.col("o"))
-    usual = {r["lang"]: (r["e"], r["n"]) for r in wide.groupBy("lang").agg(F.sum("e").alias("e"), F.sum("all").alias("n")).collect()}  # one row a language
+    # one row a language; names and starters are told apart among capitals, so these are the cases of the tests
+    totals = wide.groupBy("lang").agg(
+        F.sum("e").alias("ends"), F.sum("all").alias("periods"), F.sum("w").alias("capitals"), F.sum(F.when(F.col("w") > 0, F.least("s", "w"))).alias("breaks"), F.sum("m").alias("numbered")
+    )
+    usual = {r["lang"]: (r["ends"], r["periods"]) for r in totals.collect()}
+    wide = wide.join(F.broadcast(totals.drop("ends", "periods")), "lang")
+    wide = wide.withColumn("starts", (F.col("w") > 0) & (_association(F.col("breaks"), F.col("w"), F.least("s", "w"), F.col("capitals")) >= LL_STARTER))
+    wide = wide.withColumn("numbers", (F.col("w") > 0) & ~F.col("starts") & (F.col("m") * 2 > F.col("w")) & (_association(F.col("numbered"), F.col("w"), F.col("m"), F.col("capitals")) >= LL_COLLOCATION)).persist()
     short = (F.length(F.regexp_replace("word", r"\.", "")) <= 4) | F.col("word").contains(".")
     # only types that can pass come to the driver; the tests follow below
     abbr_like = (F.col("all") >= 1) & ((F.col("l") + F.col("d")) * 20 >= F.col("all")) | (F.col("all") >= 8) & short & (F.col("e") * 20 < F.col("all"))
-    col_like = (F.col("m") >= 3) & (F.col("m") * 2 > F.col("w"))
-    rows = wide.where(abbr_like | col_like | (F.col("s") >= 5)).limit(MAX_TYPES + 1).collect()
-    if len(rows) > MAX_TYPES:
-        raise ValueError("more abbreviation candidates than MAX_TYPES")
+    pairs = n.where("kind = 'p'").select("lang", "word", "follow", F.col("n").alias("ab"))
+    after = wide.where("w > 0").select("lang", F.col("word").alias("follow"), F.col("w").alias("b"), "capitals", "starts")
+    pairs = pairs.join(after, ["lang", "follow"]).join(wide.where(abbr_like).select("lang", "word", F.col("u").alias("a")), ["lang", "word"]).persist()
+    t = pairs.where("starts").groupBy("lang", "word").agg(F.sum("ab").alias("t"))  # capitals that begin sentences
+    rows = _collect(wide.where(abbr_like | F.col("numbers") | F.col("starts")).join(t, ["lang", "word"], "left").fillna(0, ["t"]))
     abbr, collocates, starters = {}, set(), set()
     for r in rows:
         lang, w, e, total = r["lang"], r["word"], r["e"], r["all"]
@@ -242,11 +280,17 @@ def learn(docs: DataFrame, text: str = "text") -> Model:
                 fewer = False  # what follows begins sentences
             if low >= 0.3 and total >= (2 if letters <= 4 else 3) or (low >= 0.05 or letters <= 4 or "." in w) and fewer:
                 abbr[lang, w] = e / total >= p / 8
-        if r["m"] >= 3 and r["m"] * 2 > r["w"]:
+        if r["numbers"]:
             collocates.add((lang, w))
-        if r["s"] >= 5:
+        if r["starts"]:
             starters.add((lang, w))
-    return Model(abbr, collocates, starters)
+    # pairs matter only after abbreviations that may end a sentence
+    mays = n.sparkSession.createDataFrame([k for k, v in abbr.items() if v], "lang string, word string")
+    fixed = ~F.col("starts") & (F.col("ab") * 2 > F.col("b")) & (_association(F.col("a"), F.col("b"), F.col("ab"), F.col("capitals")) >= LL_COLLOCATION)
+    together = {(r["lang"], r["word"], r["follow"]) for r in _collect(pairs.join(F.broadcast(mays), ["lang", "word"]).where(fixed))}
+    pairs.unpersist()
+    wide.unpersist()
+    return Model(abbr, collocates, starters, together)
 
 
 def _breaks(par: str, lang: str, model: Model, items: list[tuple[int, int]]) -> Iterator[int]:

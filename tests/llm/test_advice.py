@@ -1,6 +1,7 @@
 """Cases of the review: what the operators once left out."""
 from corpuscle.llm import boilerplate as B
 from corpuscle.llm import residue as R
+from corpuscle.llm import sentences as P
 
 
 def corpus(spark, path, rows):
@@ -15,3 +16,17 @@ def test_learned_notices_do_not_hide_error_pages(spark, tmp_path):
     rows += [(f"e{i}", f"{notice}\n{gone}\nCheck the address and try again.", f"h{i}", "blog") for i in range(6)]
     rows += [("s", f"{notice}\nPage not found", "h0", "Blog"), ("x", None, None, "blog")]
     assert {r.doc_id for r in R.p4_found(spark, corpus(spark, tmp_path, rows)).collect()} == {"s", *(f"e{i}" for i in range(6))}
+
+
+def test_starters_count_over_the_corpus_not_the_batch(spark):
+    rows = [(str(i), "The talk with Vane on the plan left a gap. The council did not agree with Benar.") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, models = spark.conf.get(key), []
+    try:
+        for n in ("1", "10000"):
+            spark.conf.set(key, n)
+            models.append(P.learn(df))
+    finally:
+        spark.conf.set(key, before)
+    assert vars(models[0]) == vars(models[1]) and ("en", "gap") not in models[0].abbr
