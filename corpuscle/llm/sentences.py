@@ -340,11 +340,10 @@ def _breaks(par: str, lang: str, model: Model, items: list[tuple[int, int]]) ->
                     if kind == "d":
                         if not (may_end and par[nxt] in _OPENERS):
                             continue
-                    elif not may_end:
-                        if single and model.abbr.get((lang, w.lower())) is None:
-                            continue
-                        if not (len(w) > 2 and (lang, follow) in model.starters and "." not in w and (lang, w.lower()) not in model.abbr):
-                            continue
+                    elif (lang, w.lower(), follow) in model.pairs:
+                        continue
+                    elif not may_end and (single or (lang, follow) not in model.starters):
+                        continue
         yield nxt
 
 
