@@ -51,19 +51,52 @@ for _lang, _ws in {
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def language(text: str) -> str:
-    """The script's language, or the Latin one with most function words."""
-    letters = sum(1 for _ in _WORD.finditer(text[:2000])) or 1
+_OTHER = re.compile("|".join(r.pattern for _, r in _SCRIPTS))
+
+
+def _script(part: str, text: str, least: int = 1) -> str | None:
+    """The language of the script, other than the Latin one, that ``part`` of the text is written in."""
+    if not _OTHER.search(part):
+        return None
+    letters = sum(1 for _ in _WORD.finditer(part)) or 1
     for lang, r in _SCRIPTS:
-        n = len(r.findall(text[:2000]))
-        if n > 2 * letters * 0.3 or n > 40:
-            if lang == "zh" and _SCRIPTS[4][1].search(text):
-                return "ja"
-            return lang
+        n = len(r.findall(part))
+        if n >= least and n > 2 * letters * 0.3 or n > max(40, len(part) // 50):
+            return "ja" if lang == "zh" and _SCRIPTS[4][1].search(text) else lang
+    return None
+
+
+def _latin(text: str) -> str:
     votes = Counter(lang for w in _WORD.findall(text.lower()) for lang in _FUNCTION.get(w, ()))
     return max(votes, key=lambda k: (votes[k], k == "en", k)) if votes else "en"
 
 
+def language(text: str) -> str:
+    """The script's language, or the Latin one with most function words."""
+    return _script(text, text) or _latin(text)
+
+
+#: Characters of a script that decide for a paragraph; letters that a paragraph of another script than its text has.
+OWN_CHARS, LATIN_CHARS = 6, 40
+
+
+class _Languages:
+    """The language of each paragraph of a text: its own script's, else the text's."""
+
+    def __init__(self, text: str):
+        self.text, self.whole = text, language(text)
+        self.native = dict(_SCRIPTS).get(self.whole)
+        self.mixed = bool(_OTHER.search(text))
+
+    def of(self, par: str) -> str:
+        if not self.mixed:
+            return self.whole
+        own = _script(par, self.text, OWN_CHARS)
+        if own or not self.native or self.native.search(par) or sum(map(len, _WORD.findall(par))) < LATIN_CHARS:
+            return own or self.whole
+        return _latin(par)
+
+
 _PARAGRAPH = re.compile(r"\S(?:.*\S)?(?:[^\S\n]*\n[^\S\n]*\S(?:.*\S)?)*")
 _QUOTES = re.compile(r"\"[^\"]*\"|“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|「[^「」]*」|『[^『』]*』|‹[^‹›]*›")
 _CLOSERS = "\"”“»›」』)）]’'"
@@ -168,8 +201,9 @@ def _kind(word: str) -> str:
 
 def observe(text: str, counts: Counter, pairs: Counter) -> None:
     """Adds what one text shows: periods by what follows, paragraph starters, words after numbered periods."""
-    lang = language(text)
+    languages = _Languages(text)
     for _, par in paragraphs(text):
+        lang = languages.of(par)
         items = _items(par)
         marks = {e for _, e in items}
         first = _follow(par, items[0][1] if items and items[0][0] == 0 else 0)
@@ -351,11 +385,12 @@ def units(text: str | None, model: Model) -> list[int]:
     """Offsets of the first character of each unit."""
     if not text or text.isspace():
         return []
-    lang = language(text)
+    languages = _Languages(text)
     out = []
     clean = _plain(text)
     for m in _PARAGRAPH.finditer(clean):
         base, par = m.start(), m.group()
+        lang = languages.of(par)
         items = _items(par)
         begins = {0, *(s for s, _ in items)}
         begins.update(_breaks(par, lang, model, items))

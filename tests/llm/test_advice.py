@@ -44,3 +44,13 @@ def test_starters_split_after_abbreviations_and_pairs_do_not():
     m = P.Model({("en", "etc"): False, ("en", "u.s"): True}, set(), {("en", "The")}, {("en", "u.s", "Senate")})
     text = "They sold pens, ink, etc. The vote in the U.S. Senate failed in the U.S. Nobody saw etc. Vane."
     assert [text[a : a + 6] for a in P.units(text, m)] == ["They s", "The vo", "Nobody"]
+
+
+def test_language_is_chosen_per_paragraph():
+    m = P.Model({}, set(), set())
+    latin = "The council of the town met on Monday and agreed on the plan for the river. " * 30
+    for tail, unit in (("คณะกรรมการระบุว่าดี คณะกรรมการเตือนว่าไม่ดี", "คณะกรรมการเตือน"), ("准确率上升到九成。这太快了！", "这太快"), ("समिति ने कहा कि यह है।क्या यह सच है?", "क्या")):
+        for text in (latin + "\n\n" + tail, tail + "\n\n" + latin):
+            assert text.index(unit) in P.units(text, m)
+            assert len(P.units(text, m)) == 32
+    assert len(P.units("Είναι αλήθεια ότι το ξέρει; Το δικαστήριο δήλωσε.\n\n" + latin.replace("town met", "town; That met"), m)) == 32
