@@ -2,8 +2,9 @@
 
 Method: each page runs through the standard library's streaming parser; per line, text and tag events give a
 text-to-tag ratio, where the marks that stand for tags once a page is stripped (bullets, link separators, ellipses)
-count as tags.  The ratios are smoothed by a Gaussian and clustered by a threshold into content regions.  Lines
-inside or next to a region are then kept or dropped by what they are: families of notices and controls, lines that
+count as tags.  The ratios are smoothed by a Gaussian and clustered by a threshold into content regions.  Only
+lines inside or next to a region (lists and headed paragraphs go on from there, the title stands before it) can be kept;
+they are kept or dropped by what they are: families of notices and controls, lines that
 return on many pages (learned: line counts and how often a paragraph follows tell menus from headings), teaser
 blocks, the title before the first paragraph, list items and headings between paragraphs.
 
@@ -230,6 +231,17 @@ def plain_content(text: str) -> str | None:
     return None
 
 
+def bounds(lines: list[str], full: list[int], kind: list[int], heads: set[int]) -> set[int]:
+    """Lines inside or next to a content region of the non-blank lines; a list goes on as long as its items do, and
+    a learned heading that follows takes the paragraph that it leads with it."""
+    inside = regions([lines[i] for i in full])
+    near = [bool(inside[max(0, k - 1) : k + 2].any()) for k in range(len(full))]
+    for ks in (range(1, len(full)), range(len(full) - 2, -1, -1)):
+        for k in ks:
+            near[k] = near[k] or near[k - ks.step] and (kind[full[k]] == ITEM or ks.step > 0 and (full[k] in heads or kind[full[k]] == PARA and full[k - 1] in heads))
+    return {i for i, n in zip(full, near) if n}
+
+
 def article(text: str, m: Model, host: str | None) -> list[bool]:
     """Which lines belong to the page's own article."""
     lines = text.split("\n")
@@ -237,15 +249,15 @@ def article(text: str, m: Model, host: str | None) -> list[bool]:
     keep = [False] * len(lines)
     full = [i for i, k in enumerate(kind) if k != BLANK]
     crumbs = [lines[i].split("›")[-1].strip().rstrip("…").strip() for i in full if "›" in lines[i]]
-    inside = regions(lines)
+    heading = lambda i: m.common.get(mask(lines[i], host), 0.0) >= 0.5 and not _LIST.match(lines[i]) and not re.search(r"\d", lines[i])
+    within = bounds(lines, full, kind, {i for i in full if kind[i] in (SHORT, LINK) and heading(i)})
     only = kind.count(PARA) == 1
-    paras = [i for i in full if kind[i] == PARA and (inside[i] or len(lines[i].strip()) >= 40 or only)]
+    paras = [i for i in full if kind[i] == PARA and (i in within or only)]
     if not paras:
         return keep
     for i in paras:
         keep[i] = True
     first, last = paras[0], paras[-1]
-    heading = lambda i: m.common.get(mask(lines[i], host), 0.0) >= 0.5 and not _LIST.match(lines[i]) and not re.search(r"\d", lines[i])
     nxt = {}
     follow = None
     for i in reversed(full):
@@ -288,10 +300,10 @@ def article(text: str, m: Model, host: str | None) -> list[bool]:
         if i <= first or keep[i]:
             continue
         if kind[i] == ITEM:
-            keep[i] = True
+            keep[i] = i in within
         elif kind[i] == SHORT and i < last:
             f = nxt[i]
-            lead = f is not None and kind[f] in (PARA, ITEM)
+            lead = f is not None and (kind[f] == PARA and (f in within or only) or kind[f] == ITEM and f in within)
             keep[i] = lead and (heading(i) or i not in block)
         elif kind[i] == LINK and i < last and heading(i) and i not in block:
             keep[i] = True
@@ -302,7 +314,7 @@ def article(text: str, m: Model, host: str | None) -> list[bool]:
     for i in full:
         if i > last and kind[i] == SHORT and i not in block and heading(i):
             f = nxt[i]
-            keep[i] = f is not None and kind[f] == ITEM
+            keep[i] = f is not None and kind[f] == ITEM and f in within
     return keep
 
 

@@ -54,3 +54,10 @@ def test_language_is_chosen_per_paragraph():
             assert text.index(unit) in P.units(text, m)
             assert len(P.units(text, m)) == 32
     assert len(P.units("Είναι αλήθεια ότι το ξέρει; Το δικαστήριο δήλωσε.\n\n" + latin.replace("town met", "town; That met"), m)) == 32
+
+
+def test_paragraphs_far_from_the_regions_are_furniture():
+    body = ["The committee said on Monday that the plan would be dropped after months of talks with the council of the town." * 2] * 4
+    foot = ["Careers", "Team", "Our offices are open on all days of the week.", "Events", "Awards"]
+    keep = B.article("\n".join(["A title", *body, "Press", "Partners", "People", *foot]), B.Model({}, set()), "acme")
+    assert [i for i, k in enumerate(keep) if k] == [0, 1, 2, 3, 4]
