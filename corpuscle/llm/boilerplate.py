@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from html.parser import HTMLParser
 
 import numpy as np
@@ -36,8 +37,8 @@ SHARE, SIGMA = 0.001, 1.5
 _TAGLIKE = re.compile(r"[|·›»•☰►▸→]|\s{2,}\S|^\s*[*+]\s|…$")
 _END = re.compile(r"[.!?。！？।؟]['\"”»’)\]]*$")
 _LIST = re.compile(r"^\s*(?:[•*·‣▪\-–]\s+|\(?\d{1,2}[.)]\s+|[a-z][.)]\s+)")
-#: Longer lines are no notices, controls or links.
-LONG = 160
+#: Longer lines are no controls or links, and notices only by their sentences; learned ones are counted by hash.
+LONG, HASHED = 160, 120
 _CRUMB = re.compile(r"^(?:home|accueil|inicio|startseite)\s*[/>»]", re.I)
 _SEPARATED = re.compile(r"\s*[|·•/›]\s*|\s{2,}|\t")
 
@@ -65,6 +66,10 @@ NOTICE = re.compile(
     r"please enable javascript to view the comments\W*|built with care by\b.*|.*\bnot responsible for the content of external (?:sites|links)\W*)$",
     re.I,
 )
+#: Words that each notice has, and the beginnings of lines of rights and addresses.
+_HINT = re.compile(r"cookie|traceur|stores small files|privacy choices|personal data|sign up for|briefing|newsletter|inbox|notre lettre|boletín|erhalten sie|no spam|javascript to view|built with care|external (?:sites|links)", re.I)
+_RIGHTS = re.compile(r"^\W*(?:(?:©|\(c\)|copyright (?:©|\d{4}))|registered office:)", re.I)
+_CUT = re.compile(r"(?<=[.!?。！？])\s+")
 INLINE = re.compile(r"^(?:related|read more|read also|see also|more|also read|mehr zum thema|lesen sie auch|siehe auch|à lire aussi|lire aussi|voir aussi|lea también|lee también|ver también|más sobre [^:]{0,30}|relacionado)\s*:\s+\S", re.I)
 TEASERS = re.compile(
     r"^(?:you may also like|keep reading|most (?:read|popular|viewed)|more from .{2,40}|in this series|read next|up next|recommended(?: for you)?|related (?:posts|articles|stories|content)|popular (?:this week|now|posts)|latest (?:updates|news|posts)|trending(?: now)?|editor'?s picks|more (?:stories|articles|news)|"
@@ -118,6 +123,21 @@ def regions(lines: list[str]) -> np.ndarray:
     return smooth(r) >= max(12.0, min(float(r.std()), 40.0))
 
 
+def _long_notice(s: str) -> bool:
+    """Whether a long line is a notice: its first sentence is one, or at least half of them are."""
+    if _RIGHTS.match(s) or INLINE.match(s):
+        return True
+    if not _HINT.search(s):
+        return False
+    parts = [bool(NOTICE.match(x)) for x in _CUT.split(s) if x]
+    return parts[0] or 2 * sum(parts) >= len(parts)
+
+
+def _hashed(line: str, host: str | None) -> str:
+    """The key under which a line longer than ``HASHED`` is counted."""
+    return "\x01" + blake2b(mask.__wrapped__(line, host).encode("utf-8", "surrogatepass"), digest_size=10).hexdigest()
+
+
 @lru_cache(maxsize=1 << 17)
 def mask(line: str, host: str | None) -> str:
     """A line with its numbers and the page owner's name masked, for counting."""
@@ -132,35 +152,48 @@ def _paragraph(line: str) -> bool:
 
 
 class Model:
-    """common: {masked short line: share followed by a paragraph}; notices: masked sentences on many pages."""
+    """common: {masked short line: share followed by a paragraph}; notices: masked sentences on many pages, long
+    lines by their hash."""
 
     def __init__(self, common: dict[str, float], notices: set[str]):
         self.common, self.notices = common, notices
+        self.hashes = any(x[0] == "\x01" for x in notices)
+
+    def knows(self, line: str, host: str | None) -> bool:
+        """Whether a line of more than ``HASHED`` characters is a learned notice."""
+        return self.hashes and len(line) > HASHED and _hashed(line, host) in self.notices
 
 
 def learn(pages: DataFrame, text: str = "text", host: str = "host") -> Model:
     def count(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            n, before, pages = Counter(), Counter(), 0
+            n, before, pages, first, last = Counter(), Counter(), 0, {}, {}
             for t, h in zip(pdf[text], pdf[host]):
                 if not t or t.isspace():
                     continue
                 pages += 1
                 lines = [x for x in t.split("\n") if x.strip()]
                 seen = {}
+                page = int.from_bytes(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=7).digest())
                 for x, y in zip(lines, [*lines[1:], ""]):
-                    if len(x) <= 120:
+                    if len(x) <= HASHED:
                         seen[mask(x, h)] = _paragraph(y) and not NOTICE.match(y.strip())
+                    else:
+                        k = _hashed(x.strip(), h)
+                        seen[k] = False
+                        first[k], last[k] = min(page, first.get(k, page)), max(page, last.get(k, page))
                 n.update(seen.keys())
                 before.update(k for k, v in seen.items() if v)
-            yield pd.DataFrame({"line": ["", *n], "n": [pages, *n.values()], "before": [0, *(before[k] for k in n)]})
+            yield pd.DataFrame({"line": ["", *n], "n": [pages, *n.values()], "before": [0, *(before[k] for k in n)], "least": [0, *(first.get(k, 0) for k in n)], "most": [0, *(last.get(k, 1) for k in n)]})
 
-    c = pages.select(text, host).mapInPandas(count, "line string, n bigint, before bigint").groupBy("line").agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
+    c = pages.select(text, host).mapInPandas(count, "line string, n bigint, before bigint, least bigint, most bigint")
+    # a long line of one page that is repeated as a whole is no notice
+    c = c.groupBy("line").agg(F.sum("n").alias("n"), F.sum("before").alias("before"), F.min("least").alias("least"), F.max("most").alias("most"))
     c = c.persist()
     total = (c.where("line = ''").agg(F.max("n")).first()[0]) or 0
-    rows = c.where((F.col("line") != "") & (F.col("n") >= max(3, math.ceil(SHARE * total)))).collect()
+    rows = c.where((F.col("line") != "") & (F.col("n") >= max(3, math.ceil(SHARE * total))) & (F.col("least") < F.col("most"))).collect()
     c.unpersist()
-    sentence = {r["line"] for r in rows if _END.search(r["line"]) and r["line"].count(" ") >= 3}
+    sentence = {r["line"] for r in rows if r["line"][0] == "\x01" or _END.search(r["line"]) and r["line"].count(" ") >= 3}
     common = {r["line"]: r["before"] / r["n"] for r in rows if r["line"] not in sentence}
     floor = max(5, 0.004 * total)
     return Model(common, {r["line"] for r in rows if r["line"] in sentence and r["n"] >= floor})
@@ -176,6 +209,8 @@ def _family(line: str) -> int:
     if not s:
         return BLANK
     if len(s) > LONG:
+        if _long_notice(s):
+            return DROP
         return ITEM if _LIST.match(line) and not _paragraph(_LIST.sub("", line)) else PARA
     if TEASERS.match(s):
         return TEASER
@@ -204,7 +239,9 @@ def _classify(lines: list[str], m: Model, host: str | None, judging: bool = Fals
     out = []
     for x in lines:
         k = alone = _family(x)
-        if k in (ITEM, PARA, SHORT) and len(x) <= LONG:
+        if k in (ITEM, PARA, SHORT) and m.knows(x.strip(), host):
+            k = alone if judging and _message(x) else DROP
+        elif k in (ITEM, PARA, SHORT) and len(x) <= LONG:
             key = mask(x.strip(), host)
             if key == "@" or key in m.notices:
                 k = DROP
@@ -220,13 +257,13 @@ def _classify(lines: list[str], m: Model, host: str | None, judging: bool = Fals
     return out
 
 
-def plain_content(text: str) -> str | None:
-    """A long paragraph that is content beyond doubt, if the page has one."""
+def plain_content(text: str, m: Model, host: str | None) -> str | None:
+    """A long paragraph that is content beyond doubt and no notice, if the page has one."""
     from .residue import judge
 
     for x in text.split("\n"):
         s = x.strip()
-        if len(s) > LONG and judge(s)[0] == "content":
+        if len(s) > LONG and judge(s)[0] == "content" and _family(x) != DROP and not m.knows(s, host):
             return s
     return None
 
@@ -331,10 +368,18 @@ def article_text(text: str, m: Model, host: str | None, only_kept: bool = True)
     return "\n".join(x for i, (x, k) in enumerate(zip(lines, kind)) if keep[i] or k == PARA or k == SHORT and i < last)
 
 
-def furniture(pages: DataFrame, key: str = "doc_id", text: str = "text", host: str = "host", model: Model | None = None) -> DataFrame:
-    """(key, line_no) of each non-blank line that is not part of the article."""
+def own(text: str, m: Model, host: str | None) -> list[bool]:
+    """Which lines are the page's article; none where all that no furniture explains is residue."""
     from .residue import judge
 
+    keep = article(text, m, host)
+    if any(keep) and not plain_content(text, m, host) and judge(article_text(text, m, host, False))[0] == "residue":
+        return [False] * len(keep)
+    return keep
+
+
+def furniture(pages: DataFrame, key: str = "doc_id", text: str = "text", host: str = "host", model: Model | None = None) -> DataFrame:
+    """(key, line_no) of each non-blank line that is not part of the article."""
     pages = spread(pages.select(key, text, host))
     shared = pages.sparkSession.sparkContext.broadcast(model or learn(pages, text, host))
 
@@ -345,11 +390,7 @@ def furniture(pages: DataFrame, key: str = "doc_id", text: str = "text", host: s
             for d, t, h in zip(pdf[key], pdf[text], pdf[host]):
                 if not t or t.isspace():
                     continue
-                keep = article(t, m, h)
-                lines = t.split("\n")
-                if any(keep) and not plain_content(t) and judge(article_text(t, m, h, False))[0] == "residue":
-                    keep = [False] * len(lines)
-                for i, (x, k) in enumerate(zip(lines, keep)):
+                for i, (x, k) in enumerate(zip(t.split("\n"), own(t, m, h))):
                     if not k and x.strip():
                         ids.append(d)
                         nos.append(i)

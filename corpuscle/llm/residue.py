@@ -151,7 +151,7 @@ def bodies(spark: SparkSession, sf: str) -> DataFrame:
     @F.pandas_udf("string")
     def strip(t: pd.Series, web: pd.Series, host: pd.Series) -> pd.Series:
         m = shared.value
-        return pd.Series([(plain_content(x) or article_text(x, m, h, False)) if w and x else x for x, w, h in zip(t, web, host)], dtype=object)
+        return pd.Series([(plain_content(x, m, h) or article_text(x, m, h, False)) if w and x else x for x, w, h in zip(t, web, host)], dtype=object)
 
     return docs.select("doc_id", "host", strip("text", "web", "host").alias("body"))
 

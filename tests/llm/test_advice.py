@@ -61,3 +61,17 @@ def test_paragraphs_far_from_the_regions_are_furniture():
     foot = ["Careers", "Team", "Our offices are open on all days of the week.", "Events", "Awards"]
     keep = B.article("\n".join(["A title", *body, "Press", "Partners", "People", *foot]), B.Model({}, set()), "acme")
     assert [i for i, k in enumerate(keep) if k] == [0, 1, 2, 3, 4]
+
+
+LONG_NOTICE = "We use cookies to improve your visit to Acme, " + "to count how often our pages are read and to show what fits your interests, " * 2 + "as our policy tells."
+
+
+def test_long_notices_are_furniture(spark, tmp_path):
+    other = "Readers who come back to these pages find that their chosen size of type and their place in a text are remembered " * 2 + "for them."
+    gone = "The page you asked for does not exist."
+    rows = [(f"c{i}", f"{other}\nTitle {i}\nThe council of {chr(97 + i) * 4} met on Monday and agreed on a plan for the river.", f"h{i % 3}", "blog") for i in range(12)]
+    rows += [("e", f"{other}\n{gone}", "h1", "blog"), ("f", f"{LONG_NOTICE}\n{gone}", "h1", "blog"), *[("r", f"A title\n{other[:200]} by and by.", "h2", "blog")] * 9]
+    sf = corpus(spark, tmp_path, rows)
+    got = {(r.doc_id, r.line_no) for r in B.p1_found(spark, sf).collect()}
+    assert got == {*((f"c{i}", 0) for i in range(12)), ("e", 0), ("e", 1), ("f", 0), ("f", 1)}
+    assert {r.doc_id for r in R.p4_found(spark, sf).collect()} == {"e", "f"}
