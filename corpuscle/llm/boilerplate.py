@@ -417,7 +417,7 @@ def p1_articles(spark: SparkSession, sf: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def body(t: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([article_text(x, shared.value, y) for x, y in zip(t, h)], dtype=object)
+        return pd.Series(["\n".join(s for s, k in zip(x.split("\n"), own(x, shared.value, y)) if k) for x, y in zip(t, h)], dtype=object)
 
     return pages.select("doc_id", body("text", "host").alias("article")).distinct()
 

@@ -75,3 +75,9 @@ def test_long_notices_are_furniture(spark, tmp_path):
     got = {(r.doc_id, r.line_no) for r in B.p1_found(spark, sf).collect()}
     assert got == {*((f"c{i}", 0) for i in range(12)), ("e", 0), ("e", 1), ("f", 0), ("f", 1)}
     assert {r.doc_id for r in R.p4_found(spark, sf).collect()} == {"e", "f"}
+
+
+def test_articles_of_error_pages_are_empty(spark, tmp_path):
+    rows = [("e", "Home | News | Press\nThe page you asked for does not exist.\nSitemap", "h", "blog"), ("c", "Home | News | Press\nThe council met on Monday and agreed on a plan for the river.", "h", "blog")]
+    got = {r.doc_id: r.article for r in B.p1_articles(spark, corpus(spark, tmp_path, rows)).collect()}
+    assert got == {"e": "", "c": rows[1][1].split("\n")[1]}
