@@ -3,8 +3,8 @@
 Method: sentence by sentence, placeholder and filler detectors and families of server and script messages mark what
 is no content; a text is residue when something is marked and no sentence of its own is left.  What only looks like
 a message (weak terms) is decided by evidence from the corpus: the same low-information skeleton (names and numbers
-masked) returned for several records of different hosts and titles.  A row has no address here, so the host is the
-actor and the title is the first line.
+masked) returned for several records of different hosts, or of one host under different titles whose terms do not
+return in the body.  A row has no address here, so the host is the actor and the title is the first line.
 
 Scale: texts are judged in a map over the scan; only short texts without an own sentence yield a skeleton, whose
 counts combine map-side.  Pages of the web platforms lose their furniture first
@@ -120,6 +120,15 @@ def judge(text: str) -> tuple[str, str | None]:
     return "none", None
 
 
+def titles(text: str, body: str) -> tuple[str, bool]:
+    """(first line of a text, whether no term of it returns in the rest of its body)."""
+    first = next((x.strip() for x in text.split("\n") if x.strip()), "")
+    terms = lambda x: {w for w in _WORDS.findall(x.lower()) if len(w) > 3}
+    rest = [x for x in body.split("\n") if x.strip() and x.strip() != first]
+    own = terms(first)
+    return first, bool(own and rest) and not own & terms("\n".join(rest))
+
+
 def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "body", host: str = "host") -> DataFrame:
     """(key, residue) of each row; ``text`` is the main content."""
     kind = dict(docs.dtypes)[key]
@@ -128,14 +137,22 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "body", host: str
         for pdf in pdfs:
             if not len(pdf):
                 continue
-            out = [judge(t) if t and not t.isspace() else ("none", None) for t in pdf[text]]
-            yield pd.DataFrame({key: pdf[key], "host": pdf[host], "verdict": [v for v, _ in out], "skeleton": [s for _, s in out]})
-
-    judged = docs.select(key, text, host).mapInPandas(run, f"{key} {kind}, host string, verdict string, skeleton string").where("verdict in ('residue', 'weak')")
-    judged = cut(judged)
+            rows = []
+            for d, t, h in zip(pdf[key], pdf[text], pdf[host]):
+                v, whole = judge(t) if t and not t.isspace() else ("none", None)
+                first, differs = titles(t, t) if v == "weak" else ("", False)
+                # a title that says nothing of its body is no part of the message
+                told = judge(t.strip()[len(first) :])[1] if differs else None
+                rows.append((d, h, v, whole, told, first if differs else None))
+            yield pd.DataFrame(rows, columns=[key, "host", "verdict", "skeleton", "message", "title"])
+
+    judged = docs.select(key, text, host).mapInPandas(run, f"{key} {kind}, host string, verdict string, skeleton string, message string, title string").where("verdict in ('residue', 'weak')")
+    judged = cut(judged.withColumn("skeleton", F.coalesce("message", "skeleton")).drop("message"))
+    # returned by several hosts (rows without one count as one), or by one under titles that its body doesn't answer
     common = (
-        judged.where("verdict = 'weak'").groupBy("skeleton").agg(F.countDistinct(key).alias("n"), F.countDistinct("host").alias("hosts"))
-        .where((F.col("n") >= REPEATS) & (F.col("hosts") >= 2)).select("skeleton", F.lit(True).alias("again"))
+        judged.where("verdict = 'weak'").groupBy("skeleton")
+        .agg(F.countDistinct(key).alias("n"), F.countDistinct(F.coalesce("host", F.lit(""))).alias("hosts"), F.countDistinct("title").alias("titles"))
+        .where((F.col("n") >= REPEATS) & ((F.col("hosts") >= 2) | (F.col("titles") >= REPEATS))).select("skeleton", F.lit(True).alias("again"))
     )
     return judged.join(small(common), "skeleton", "left").where("verdict = 'residue' or again").select(key)
 

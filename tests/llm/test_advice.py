@@ -81,3 +81,11 @@ def test_articles_of_error_pages_are_empty(spark, tmp_path):
     rows = [("e", "Home | News | Press\nThe page you asked for does not exist.\nSitemap", "h", "blog"), ("c", "Home | News | Press\nThe council met on Monday and agreed on a plan for the river.", "h", "blog")]
     got = {r.doc_id: r.article for r in B.p1_articles(spark, corpus(spark, tmp_path, rows)).collect()}
     assert got == {"e": "", "c": rows[1][1].split("\n")[1]}
+
+
+def test_weak_messages_of_one_host_under_other_titles(spark):
+    talks = ["Robots of Vane", "Bridges under water", "Prices in spring", "Trains at night"]
+    rows = [(f"d{i}", f"{t}\nLogin needed, members only", "h") for i, t in enumerate(talks)] + [(f"n{i}", f"Login Vane{i}", h) for i, h in enumerate(["a", None, None])]
+    rows += [(f"m{i}", f"Members of {t}\nMembers at the gate", "h") for i, t in enumerate(talks)]
+    df = spark.createDataFrame(rows, "doc_id string, body string, host string")
+    assert {r.doc_id for r in R.verdicts(df).collect()} == {"d0", "d1", "d2", "d3", "n0", "n1", "n2"}
