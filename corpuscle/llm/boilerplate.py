@@ -285,6 +285,8 @@ def article(text: str, m: Model, host: str | None) -> list[bool]:
     kind = _classify(lines, m, host)
     keep = [False] * len(lines)
     full = [i for i, k in enumerate(kind) if k != BLANK]
+    if not full:
+        return keep
     crumbs = [lines[i].split("›")[-1].strip().rstrip("…").strip() for i in full if "›" in lines[i]]
     heading = lambda i: m.common.get(mask(lines[i], host), 0.0) >= 0.5 and not _LIST.match(lines[i]) and not re.search(r"\d", lines[i])
     within = bounds(lines, full, kind, {i for i in full if kind[i] in (SHORT, LINK) and heading(i)})
