@@ -81,7 +81,7 @@ def brute_windows(docs, length):
     return {(d, i) for d, t in docs for i in range(len(t or "") - length + 1) if len(where[t[i : i + length]]) > 1}
 
 
-def test_shared_windows_match_brute_force(spark):
+def test_shared_windows_match_brute_force(spark, monkeypatch):
     rng = random.Random(6)
     rand = lambda n: "".join(rng.choice("abcdefgh \n漢🤖") for _ in range(n))
     common = [rand(n) for n in (39, 40, 41, 90, 200)]
@@ -90,6 +90,12 @@ def test_shared_windows_match_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 as pos").repartition(3)
     got = {(r.doc_id, r.pos) for r in spans.repeated_windows(df, "doc_id", "text", 40, 13).collect()}
     assert got == brute_windows(docs, 40)
+    for name in ("BROADCAST", "LOCAL", "HELD"):  # beyond its bound each step has another way
+        monkeypatch.setattr(spans, name, 1)
+    monkeypatch.setattr(spans, "RANGE", 256)
+    full = spans.repeated_windows(df, "doc_id", "text", 40, 13, max_bits=1)  # a folded sketch that rules out nothing
+    assert {(r.doc_id, r.pos) for r in full.collect()} == got
+    assert spans.repeated_windows(df.where("doc_id < 0"), "doc_id", "text").count() == 0
     total = {r.doc_id: 0 for r in df.collect()}
     for r in spans.spans(spans.shared_runs(df, "doc_id", "text", 40, 13), "doc_id", 40).collect():
         total[r.doc_id] += r.n_chars
