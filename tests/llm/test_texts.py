@@ -134,6 +134,13 @@ def test_turns_layouts():
     assert names("Participants: Ana Brandine, Kofi Tarreman\nANA BRANDINE — One.\nTarreman — Two.\nBranddine — Three.") == [(1, "brandine"), (2, "tarreman"), (3, "brandine")]
 
 
+def test_participants_count_wherever_they_stand():
+    talk = [">> Ada: One.", ">> Grace: Two."]
+    for at in (0, 7, 40):
+        lines = [f"Recorded at Vane, part {i}." for i in range(at)] + ["Participants: Ada Lovelace, Grace Hopper", "", *talk]
+        assert names("\n".join(lines)) == [(at + 2, "lovelace"), (at + 3, "hopper")]
+
+
 def test_prose_has_no_turns():
     assert names("The board met on Monday. Nobody agreed.\nCorrection: During the trial, spending grew.\nNote: More follows.") == []
     assert names(None or "") == [] and names("  \n") == []
