@@ -8,8 +8,9 @@ sentences.  Log-likelihood ratios of pairs find the capitals that belong to a nu
 share after ends beyond doubt (paragraphs, ``?``, ``!``); their cases are the capitals, in scripts without case all
 words.  All tests use the counts of the whole corpus.  A second pass classifies each terminator with these statistics.
 
-Scale: both passes are maps over the scan; the counts are combined per batch, then in one aggregation.  Only the
-types that pass the tests (abbreviations, collocates, starters: ``MAX_TYPES`` are accepted) travel to the tasks.
+Scale: both passes are maps over the scan; the counts are combined per batch, then in one aggregation, and the tests
+run there.  The types that pass them (abbreviations, collocates, starters) are broadcast while they are at most
+``MAX_TYPES``; beyond, each document is joined with those of its own words, which moves the texts once.
 
 Defined results: null and blank texts have no unit; offsets count code points; an empty line ends a unit, a single
 line break does not unless a list item follows; a heading or list item with its mark is a unit; terminators inside
@@ -18,7 +19,6 @@ paragraph by paragraph.
 """
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread, squash, table
+from ..session import cut, spread, squash, table
 
 PLATFORMS = ("speech", "research_paper")
 MAX_TYPES = 200_000
@@ -174,8 +174,12 @@ def _candidates(par: str, lang: str):
         yield s, e, marks, quoted, nxt
 
 
+#: Types are told apart by so many last characters.
+WORD = 64
+
+
 def _before(par: str, at: int) -> str:
-    m = _TOKEN.search(par, max(0, at - 24), at)
+    m = _TOKEN.search(par, max(0, at - WORD), at)
     return m.group() if m else ""
 
 
@@ -228,16 +232,10 @@ def observe(text: str, counts: Counter, pairs: Counter) -> None:
                     counts[lang, "m", follow] += 1
             else:
                 counts[lang, how, w.lower()] += 1
-                if how == "u" and len(w) <= 6:
+                if how == "u":
                     pairs[lang, w.lower(), follow] += 1
 
 
-def _ll(k: int, n: int, p: float) -> float:
-    """Twice the log-likelihood ratio of a share k/n against p."""
-    q = k / n
-    return 2 * ((k * math.log(q / p) if k else 0.0) + ((n - k) * math.log((1 - q) / (1 - p)) if k < n else 0.0))
-
-
 def _association(a, b, ab, n):
     """Twice the log-likelihood ratio of ``ab`` common cases of two events with ``a`` and ``b`` cases among ``n``;
     0 where they meet less often than by chance.  Columns."""
@@ -247,15 +245,13 @@ def _association(a, b, ab, n):
     return F.when(ab * n > a * b, 2 * both).otherwise(0.0)
 
 
-class Model:
-    """abbr: {(lang, type): may end a sentence}; collocates: {(lang, word after a numbered period)}; starters;
-    pairs: {(lang, abbreviation, capital that belongs to it)}."""
+_MODEL = "lang string, kind string, word string, follow string, may boolean"
 
-    def __init__(self, abbr, collocates, starters, pairs=frozenset()):
-        self.abbr, self.collocates, self.starters, self.pairs = abbr, collocates, starters, pairs
 
+def learn(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(lang, kind, word, follow, may): the types that pass the tests.  Kinds: a abbreviation (``may`` end a sentence),
+    m collocate of numbers, s starter, p capital that belongs to an abbreviation."""
 
-def learn(docs: DataFrame, text: str = "text") -> Model:
     def count(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             c, pairs = Counter(), Counter()
@@ -267,21 +263,16 @@ def learn(docs: DataFrame, text: str = "text") -> Model:
                 yield pd.DataFrame(rows, columns=["lang", "kind", "word", "follow", "n"])
 
     n = docs.select(text).mapInPandas(count, "lang string, kind string, word string, follow string, n bigint")
-    n = n.groupBy("lang", "word", "kind", "follow").agg(F.sum("n").alias("n")).persist()
-    try:
-        return _fit(n)
-    finally:
-        n.unpersist()
+    return _fit(cut(n.groupBy("lang", "word", "kind", "follow").agg(F.sum("n").alias("n"))))
 
 
-def _collect(df: DataFrame) -> list:
-    rows = df.limit(MAX_TYPES + 1).collect()
-    if len(rows) > MAX_TYPES:
-        raise ValueError("more candidates than MAX_TYPES")
-    return rows
+def _ll(k, n, p):
+    """Twice the log-likelihood ratio of a share k/n against p.  Columns."""
+    part = lambda k, q: F.when(k > 0, k * F.log(k / n / q)).otherwise(0.0)
+    return 2 * (part(k, p) + part(n - k, 1 - p))
 
 
-def _fit(n: DataFrame) -> Model:
+def _fit(n: DataFrame) -> DataFrame:
     """The model from the counts of the whole corpus."""
     wide = n.where("kind != 'p'").groupBy("lang", "word").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in "eldcusmwo"])
     wide = wide.withColumn("all", F.col("e") + F.col("l") + F.col("d") + F.col("c") + F.col("u") + F.col("o"))
@@ -289,42 +280,50 @@ def _fit(n: DataFrame) -> Model:
     totals = wide.groupBy("lang").agg(
         F.sum("e").alias("ends"), F.sum("all").alias("periods"), F.sum("w").alias("capitals"), F.sum(F.when(F.col("w") > 0, F.least("s", "w"))).alias("breaks"), F.sum("m").alias("numbered")
     )
-    usual = {r["lang"]: (r["ends"], r["periods"]) for r in totals.collect()}
-    wide = wide.join(F.broadcast(totals.drop("ends", "periods")), "lang")
+    wide = wide.join(F.broadcast(totals), "lang")
     wide = wide.withColumn("starts", (F.col("w") > 0) & (_association(F.col("breaks"), F.col("w"), F.least("s", "w"), F.col("capitals")) >= LL_STARTER))
-    wide = wide.withColumn("numbers", (F.col("w") > 0) & ~F.col("starts") & (F.col("m") * 2 > F.col("w")) & (_association(F.col("numbered"), F.col("w"), F.col("m"), F.col("capitals")) >= LL_COLLOCATION)).persist()
-    short = (F.length(F.regexp_replace("word", r"\.", "")) <= 4) | F.col("word").contains(".")
-    # only types that can pass come to the driver; the tests follow below
-    abbr_like = (F.col("all") >= 1) & ((F.col("l") + F.col("d")) * 20 >= F.col("all")) | (F.col("all") >= 8) & short & (F.col("e") * 20 < F.col("all"))
-    pairs = n.where("kind = 'p'").select("lang", "word", "follow", F.col("n").alias("ab"))
+    wide = wide.withColumn("numbers", (F.col("w") > 0) & ~F.col("starts") & (F.col("m") * 2 > F.col("w")) & (_association(F.col("numbered"), F.col("w"), F.col("m"), F.col("capitals")) >= LL_COLLOCATION))
+    bare, dotted = F.length(F.regexp_replace("word", r"\.", "")), F.col("word").contains(".")
+    low = F.try_divide(F.col("l") + F.col("d"), F.col("all"))
+    usual = F.least(F.greatest(F.coalesce(F.try_divide("ends", "periods"), F.lit(0.2)), F.lit(0.15)), F.lit(0.9))
+    share = F.try_divide("e", "all")
+    fewer = (share < usual) & (_ll(F.col("e").cast("double"), F.col("all").cast("double"), usual) >= LL_ABBREVIATION)
+    wide = wide.select(
+        "lang", "word", "u", "w", "capitals", "starts", "numbers", (share >= usual / 8).alias("may"), ((low < 0.05) & ~dotted).alias("vetoed"),
+        ((low >= 0.3) & (F.col("all") >= F.when(bare <= 4, 2).otherwise(3))).alias("sure"), (((low >= 0.05) | (bare <= 4) | dotted) & fewer).alias("rare"),
+    ).where("starts or numbers or sure or rare or w > 0")
+    wide = cut(wide)
     after = wide.where("w > 0").select("lang", F.col("word").alias("follow"), F.col("w").alias("b"), "capitals", "starts")
-    pairs = pairs.join(after, ["lang", "follow"]).join(wide.where(abbr_like).select("lang", "word", F.col("u").alias("a")), ["lang", "word"]).persist()
+    pairs = n.where("kind = 'p'").select("lang", "word", "follow", F.col("n").alias("ab")).join(wide.where("sure or rare").select("lang", "word", F.col("u").alias("a")), ["lang", "word"])
+    pairs = cut(pairs.join(after, ["lang", "follow"]))
     t = pairs.where("starts").groupBy("lang", "word").agg(F.sum("ab").alias("t"))  # capitals that begin sentences
-    rows = _collect(wide.where(abbr_like | F.col("numbers") | F.col("starts")).join(t, ["lang", "word"], "left").fillna(0, ["t"]))
-    abbr, collocates, starters = {}, set(), set()
-    for r in rows:
-        lang, w, e, total = r["lang"], r["word"], r["e"], r["all"]
-        ends, periods = usual[lang]
-        p = min(max(ends / periods if periods else 0.2, 0.15), 0.9)
-        if total:
-            low = (r["l"] + r["d"]) / total
-            letters = len(w.replace(".", ""))
-            fewer = e / total < p and _ll(e, total, p) >= LL_ABBREVIATION
-            if low < 0.05 and "." not in w and r["t"] * 2 >= r["u"]:
-                fewer = False  # what follows begins sentences
-            if low >= 0.3 and total >= (2 if letters <= 4 else 3) or (low >= 0.05 or letters <= 4 or "." in w) and fewer:
-                abbr[lang, w] = e / total >= p / 8
-        if r["numbers"]:
-            collocates.add((lang, w))
-        if r["starts"]:
-            starters.add((lang, w))
+    # what follows begins sentences: no abbreviation, if digits and small letters do not tell otherwise
+    abbr = wide.where("sure or rare").join(t, ["lang", "word"], "left").where(F.col("sure") | ~(F.col("vetoed") & (F.coalesce("t", F.lit(0)) * 2 >= F.col("u"))))
+    row = lambda df, kind, follow, may: df.select("lang", F.lit(kind).alias("kind"), "word", follow.alias("follow"), may.alias("may"))
+    none, no = F.lit(""), F.lit(False)
     # pairs matter only after abbreviations that may end a sentence
-    mays = n.sparkSession.createDataFrame([k for k, v in abbr.items() if v], "lang string, word string")
     fixed = ~F.col("starts") & (F.col("ab") * 2 > F.col("b")) & (_association(F.col("a"), F.col("b"), F.col("ab"), F.col("capitals")) >= LL_COLLOCATION)
-    together = {(r["lang"], r["word"], r["follow"]) for r in _collect(pairs.join(F.broadcast(mays), ["lang", "word"]).where(fixed))}
-    pairs.unpersist()
-    wide.unpersist()
-    return Model(abbr, collocates, starters, together)
+    together = pairs.where(fixed).join(abbr.where("may").select("lang", "word"), ["lang", "word"], "left_semi")
+    out = row(abbr, "a", none, F.col("may")).unionByName(row(wide.where("numbers"), "m", none, no)).unionByName(row(wide.where("starts"), "s", none, no))
+    return cut(out.unionByName(row(together, "p", F.col("follow"), no)))
+
+
+class Model:
+    """abbr: {(lang, type): may end a sentence}; collocates: {(lang, word after a numbered period)}; starters;
+    pairs: {(lang, abbreviation, capital that belongs to it)}."""
+
+    def __init__(self, abbr, collocates, starters, pairs=frozenset()):
+        self.abbr, self.collocates, self.starters, self.pairs = abbr, collocates, starters, pairs
+
+    @classmethod
+    def of(cls, rows) -> Model:
+        out = cls({}, set(), set(), set())
+        for lang, kind, word, follow, may in rows:
+            if kind == "a":
+                out.abbr[lang, word] = may
+            else:
+                {"m": out.collocates, "s": out.starters}[kind].add((lang, word)) if kind != "p" else out.pairs.add((lang, word, follow))
+        return out
 
 
 def _breaks(par: str, lang: str, model: Model, items: list[tuple[int, int]]) -> Iterator[int]:
@@ -402,24 +401,59 @@ def units(text: str | None, model: Model) -> list[int]:
     return out
 
 
-def split(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
+def words(text: str) -> set[tuple[str, str]]:
+    """(lang, word) of all that the model is asked about a text."""
+    languages, out = _Languages(text), set()
+    for _, par in paragraphs(text):
+        lang = languages.of(par)
+        for s, _e, ends, _quoted, nxt in _candidates(par, lang):
+            if ends == "." and nxt < len(par):
+                out.update(((lang, _before(par, s).lower()), (lang, _follow(par, nxt))))
+    return out
+
+
+def split(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | DataFrame | None = None) -> DataFrame:
     """(key, start_char) of every sentence unit."""
-    docs = spread(docs.select(key, text))
-    model = model or learn(docs, text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = spread(docs.select(F.col(key), F.col(text).alias("_text")))
+    shape = f"{key} {dict(docs.dtypes)[key]}, start_char int"
+
+    def emit(ids, texts, models) -> Iterator[pd.DataFrame]:
+        keys, starts = [], []
+        for d, t, m in zip(ids, texts, models):
+            u = units(t, m)
+            keys += [d] * len(u)
+            starts += u
+        if keys:
+            yield pd.DataFrame({key: keys, "start_char": pd.Series(starts, dtype="int32")})
+
+    model = learn(docs, "_text") if model is None else model
+    if isinstance(model, DataFrame) and model.count() <= MAX_TYPES:
+        model = Model.of(model.collect())
+    if isinstance(model, Model):
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in pdfs:
+                yield from emit(pdf[key], pdf["_text"], [shared.value] * len(pdf))
+
+        return docs.mapInPandas(run, shape)
+
+    # too many types for every task: each document gets those of its own words
+    def ask(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            rows = [(d, *x) for d, t in zip(pdf[key], pdf["_text"]) if t and not t.isspace() for x in words(t)]
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "lang", "word"])
+
+    asked = docs.mapInPandas(ask, f"{key} {dict(docs.dtypes)[key]}, lang string, word string").distinct()
+    own = asked.join(model, ["lang", "word"]).groupBy(key).agg(F.collect_set(F.struct("lang", "kind", "word", "follow", "may")).alias("own"))
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+    def run_own(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            ids, starts = [], []
-            for d, t in zip(pdf[key], pdf[text]):
-                u = units(t, m)
-                ids += [d] * len(u)
-                starts += u
-            if ids:
-                yield pd.DataFrame({key: ids, "start_char": pd.Series(starts, dtype="int32")})
+            models = [Model.of([] if x is None else [(r["lang"], r["kind"], r["word"], r["follow"], r["may"]) for r in x]) for x in pdf["own"]]
+            yield from emit(pdf[key], pdf["_text"], models)
 
-    return docs.mapInPandas(run, f"{key} {dict(docs.dtypes)[key]}, start_char int")
+    return docs.join(own, docs[key].eqNullSafe(own[key]), "left").select(docs[key], "_text", "own").mapInPandas(run_own, shape)
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -433,9 +467,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_abbreviations(spark: SparkSession, sf: str) -> DataFrame:
     """What was learned: abbreviations per language, and whether they may end a sentence."""
-    m = learn(spread(_docs(spark, sf)))
-    rows = [(lang, w, bool(v)) for (lang, w), v in sorted(m.abbr.items())]
-    return spark.createDataFrame(rows, "lang string, word string, may_end boolean")
+    return learn(spread(_docs(spark, sf))).where("kind = 'a'").select("lang", "word", F.col("may").alias("may_end"))
 
 
 QUERIES = {"p3_found": p3_found, "p3_abbreviations": p3_abbreviations}

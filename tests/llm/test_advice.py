@@ -26,7 +26,7 @@ def test_starters_count_over_the_corpus_not_the_batch(spark):
     try:
         for n in ("1", "10000"):
             spark.conf.set(key, n)
-            models.append(P.learn(df))
+            models.append(P.Model.of(P.learn(df).collect()))
     finally:
         spark.conf.set(key, before)
     assert vars(models[0]) == vars(models[1]) and ("en", "gap") not in models[0].abbr
@@ -35,7 +35,7 @@ def test_starters_count_over_the_corpus_not_the_batch(spark):
 def test_starters_and_collocations_by_likelihood(spark):
     rows = [(str(i), f"The end of the plan by Vane{'.' if i % 3 else '?'} The talk of Vane with Benar went on in the U.S. Senate in May. It was odd. We left the U.S. The vote on it failed.") for i in range(60)]
     rows += [(f"v{i}", "Vane met the council and the people of the town on that day with Benar.") for i in range(8)]
-    m = P.learn(spark.createDataFrame(rows, "doc_id string, text string"))
+    m = P.Model.of(P.learn(spark.createDataFrame(rows, "doc_id string, text string")).collect())
     assert ("en", "The") in m.starters and ("en", "Vane") not in m.starters
     assert m.abbr.get(("en", "u.s")) is None or ("en", "u.s", "The") not in m.pairs
 

@@ -44,9 +44,26 @@ def test_units_edges(spark):
     assert P.split(spark.createDataFrame([], "doc_id string, text string")).count() == 0
 
 
+def test_more_types_than_a_task_takes(spark, monkeypatch):
+    rows = [(str(i), f"Prof. Vane{i} spoke about it. Nobody agreed with Dr. Benar in Fig. {i} of the text. The end came.") for i in range(60)] + [("7", "Prof. Lee."), (None, "Prof. Lee spoke. It ended."), ("n", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    want = sorted(tuple(r) for r in P.split(df.where("doc_id is not null")).collect())
+    model = P.learn(df)
+    monkeypatch.setattr(P, "MAX_TYPES", 1)
+    got = [tuple(r) for r in P.split(df, model=model).collect()]
+    assert sorted(x for x in got if x[0]) == want and [x for x in got if x[0] is None] == [(None, 0), (None, 17)]
+
+
+def test_long_words_are_types(spark):
+    word = "Donaudampfschifffahrtsges"
+    rows = [(str(i), f"Die {word}. in Wien hat das nicht gesagt. Der Rat war dort.") for i in range(20)]
+    m = P.Model.of(P.learn(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert ("de", word.lower()) in m.abbr
+
+
 def test_abbreviations_are_learned(spark):
     rows = [(str(i), f"Prof. Vane{i} spoke about it. Nobody agreed with the talk in Fig. {i} of the text. The end came.") for i in range(60)]
-    m = P.learn(spark.createDataFrame(rows, "doc_id string, text string"))
+    m = P.Model.of(P.learn(spark.createDataFrame(rows, "doc_id string, text string")).collect())
     assert m.abbr.get(("en", "prof")) is False and ("en", "fig") in m.abbr and ("en", "talk") not in m.abbr
 
 
