@@ -10,8 +10,10 @@ hidden variable; without them the confusion matrices are biased towards disagree
 other labels of a sentence, which is applied to the posteriors afterwards.
 
 Scale: sentences are reduced to vote patterns (label, who voted what) and counted with map-side combining; the
-number of distinct patterns does not grow with copies.  Every EM step is one pass over the checkpointed patterns
-that returns one short vector of expected counts per partition.  Scoring is a map over the sentences, no shuffle.
+number of distinct patterns does not grow with copies.  Votes are kept as (item, annotator, vote) triples, so work and
+memory follow the votes and not items times annotators.  Every EM step is one pass over the checkpointed patterns
+whose expected counts are summed per annotator.  The tasks need the names and two numbers of each annotator (some 30
+bytes: 30 MB for a million people).  Scoring is a map over the sentences, no shuffle.
 
 Defined results: null or unparsable ``disagreements`` list nothing; a label whose remaining votes do not differ
 is still listed and judged; votes without 0 or 1 are not votes; repeated votes count once, a later conflicting
@@ -32,8 +34,7 @@ from ..session import cut, table
 LABELS = ("Innovation/Progress", "Economic Benefit", "Risk/Harm", "Regulation/Governance", "Existential/AGI", "None")
 _KEY = {re.sub(r"[^a-z]", "", x.lower()): x for x in LABELS}
 _VOTE = re.compile(r"([A-Za-z][\w.\-]*)\s*[:=]\s*([01](?:\.0*)?)(?![\w.])")
-#: Distinct annotators the model accepts: their confusion matrices travel with every task.
-MAX_ANNOTATORS = 10_000
+UNKNOWN = 2  # the vote of a unanimous but unlisted label
 
 
 def parse(text: str | None) -> dict[str, dict[str, int]]:
@@ -71,31 +72,36 @@ def sentences(df: DataFrame) -> DataFrame:
     return one.select("sentence_id", pats("disagreements").alias("pats"))
 
 
-def _encode(pats: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Votes as items x annotators (-1 none, 0, 1, 2 unanimous but unknown) and whether the item is listed."""
-    v = np.full((len(pats), len(index)), -1, dtype=np.int8)
+def _encode(pats: list[str], names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Votes as triples (item, annotator, 0 / 1 / UNKNOWN) and whether each item is listed."""
     listed = np.ones(len(pats), dtype=bool)
+    item, who, vote = [], [], []
     for i, p in enumerate(pats):
         words = p.split()
         if words[:1] == ["?"]:
             listed[i] = False
-            for a in words[1:]:
-                v[i, index[a]] = 2
+            words = words[1:]
+            who += words
+            vote += [UNKNOWN] * len(words)
         else:
             for w in words:
                 a, _, x = w.rpartition("=")
-                v[i, index[a]] = int(x)
-    return v, listed
+                who.append(a)
+                vote.append(int(x))
+        item += [i] * len(words)
+    return np.array(item, dtype=np.int64), np.searchsorted(names, np.array(who, dtype=names.dtype)), np.array(vote, dtype=np.int8), listed
 
 
-def _joint(v: np.ndarray, listed: np.ndarray, prior: np.ndarray, conf: np.ndarray) -> np.ndarray:
+def _joint(votes, prior: np.ndarray, conf: np.ndarray) -> np.ndarray:
     """P(truth, common vote | votes): items x 2 x 2; a listed item has all its mass at common vote 0."""
-    one, zero = np.log(conf), np.log1p(-conf)  # annotators x truth
-    seen = (v == 1).astype(float) @ one + (v == 0).astype(float) @ zero
-    hidden = (v == 2).astype(float)
-    j = np.full((len(v), 2, 2), -np.inf)
-    j[:, :, 0] = np.where(listed[:, None], seen, hidden @ zero)
-    j[:, :, 1] = np.where(listed[:, None], -np.inf, hidden @ one)
+    item, who, vote, listed = votes
+    one, zero = np.log(conf)[who], np.log1p(-conf)[who]  # votes x truth
+    total = lambda x: np.stack([np.bincount(item, weights=x[:, t], minlength=len(listed)) for t in (0, 1)], 1)
+    all_zero = total(np.where((vote == 1)[:, None], one, zero))
+    all_one = total(np.where((vote == UNKNOWN)[:, None], one, 0.0))
+    j = np.full((len(listed), 2, 2), -np.inf)
+    j[:, :, 0] = all_zero
+    j[:, :, 1] = np.where(listed[:, None], -np.inf, all_one)
     j += np.log(np.stack([1 - prior, prior], 1))[:, :, None]
     j = np.exp(j - j.max(axis=(1, 2), keepdims=True))
     return j / j.sum(axis=(1, 2), keepdims=True)
@@ -103,59 +109,61 @@ def _joint(v: np.ndarray, listed: np.ndarray, prior: np.ndarray, conf: np.ndarra
 
 def fit(sents: DataFrame, tolerance: float = 1e-4, max_steps: int = 60):
     """EM over the pattern counts: (annotators, prior per label, P(vote 1 | truth) per annotator)."""
-    pats = cut(
-        sents.select(F.posexplode("pats").alias("label", "pat")).groupBy("label", "pat").count()
-    )
-    names = [
-        r[0] for r in pats.select(F.explode(F.regexp_extract_all("pat", F.lit(r"([A-Z][^= ]*)"))).alias("a")).distinct().limit(MAX_ANNOTATORS + 1).collect()
-    ]
-    if len(names) > MAX_ANNOTATORS:
-        raise ValueError("more annotators than max_annotators")
-    names.sort()
-    index = {a: i for i, a in enumerate(names)}
+    pats = cut(sents.select(F.posexplode("pats").alias("label", "pat")).groupBy("label", "pat").count())
+    found = pats.select(F.explode(F.regexp_extract_all("pat", F.lit(r"([A-Z][^= ]*)"))).alias("a")).distinct().toPandas()
+    names = np.array(sorted(found["a"]), dtype=str)
     k, m = len(LABELS), len(names)
     prior, conf = np.full(k, 0.25), np.tile([0.1, 0.8], (m, 1))
+    sc = pats.sparkSession.sparkContext
+    known = sc.broadcast(names)
     for _ in range(max_steps if m else 0):
+        now = sc.broadcast((prior, conf))
 
-        def step(pdfs: Iterator[pd.DataFrame], prior=prior, conf=conf) -> Iterator[pd.DataFrame]:
-            acc = np.zeros(2 * k + 4 * m)
+        def step(pdfs: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
+            # 0..k: labels (yes, all), from k on: annotators (votes 1 and votes, where the truth is 0 and 1)
+            prior, conf = now.value
             for pdf in pdfs:
-                v, listed = _encode(pdf["pat"].tolist(), index)
+                if not len(pdf):
+                    continue
+                votes = _encode(pdf["pat"].tolist(), known.value)
+                item, who, vote, _ = votes
                 lab, n = pdf["label"].to_numpy(), pdf["count"].to_numpy(dtype=float)
-                q = _joint(v, listed, prior[lab], conf) * n[:, None, None]
+                q = _joint(votes, prior[lab], conf) * n[:, None, None]
                 t = q.sum(axis=2)
-                np.add.at(acc, lab, t[:, 1])
-                np.add.at(acc, k + lab, n)
-                ones = (v == 1).T.astype(float) @ t + (v == 2).T.astype(float) @ q[:, :, 1]
-                alls = (v >= 0).T.astype(float) @ t
-                acc[2 * k :] += np.concatenate([ones.ravel(), alls.ravel()])
-            yield pd.DataFrame({"acc": [acc.tolist()]})
-
-        acc = np.sum([r[0] for r in pats.mapInPandas(step, "acc array<double>").collect()], axis=0)
-        new_prior = (acc[:k] + 1) / (acc[k : 2 * k] + 2)
-        ones, alls = acc[2 * k : 2 * k + 2 * m].reshape(m, 2), acc[2 * k + 2 * m :].reshape(m, 2)
-        new_conf = (ones + 1) / (alls + 2)
+                ones = np.where((vote == 1)[:, None], t[item], 0.0) + np.where((vote == UNKNOWN)[:, None], q[item, :, 1], 0.0)
+                rows = [np.concatenate([lab, k + who])]
+                for of_label, of_vote in ((t[:, 1], ones[:, 0]), (n, ones[:, 1]), (0 * n, t[item, 0]), (0 * n, t[item, 1])):
+                    rows.append(np.concatenate([of_label, of_vote]))
+                yield pd.DataFrame(dict(zip(("i", "a", "b", "c", "d"), rows))).groupby("i", as_index=False).sum()
+
+        got = pats.mapInPandas(step, "i bigint, a double, b double, c double, d double").groupBy("i").agg(*[F.sum(x).alias(x) for x in "abcd"]).toPandas()
+        acc = np.zeros((k + m, 4))
+        acc[got["i"].to_numpy()] = got[["a", "b", "c", "d"]].to_numpy()
+        new_prior = (acc[:k, 0] + 1) / (acc[:k, 1] + 2)
+        new_conf = (acc[k:, :2] + 1) / (acc[k:, 2:] + 2)
         moved = max(np.abs(new_prior - prior).max(), np.abs(new_conf - conf).max())
         prior, conf = new_prior, new_conf
+        now.unpersist()
         if moved < tolerance:
             break
-    return names, prior, conf
+    return names.tolist(), prior, conf
 
 
 def posteriors(sents: DataFrame, model, exclusive: str | None = "None") -> DataFrame:
     """(sentence_id, label, listed, n_votes, share_voted, p): the probability that each label applies."""
     names, prior, conf = model
-    index = {a: i for i, a in enumerate(names)}
+    shared = sents.sparkSession.sparkContext.broadcast((np.array(names, dtype=str), prior, conf))
     alone = LABELS.index(exclusive) if exclusive else None
 
     def score(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k = len(LABELS)
+        names, prior, conf = shared.value
         for pdf in pdfs:
             if not len(pdf):
                 continue
-            flat = [p for ps in pdf["pats"] for p in ps]
-            v, listed = _encode(flat, index)
-            p = _joint(v, listed, np.tile(prior, len(pdf)), conf)[:, 1].sum(axis=1).reshape(-1, k)
+            votes = _encode([p for ps in pdf["pats"] for p in ps], names)
+            item, _, vote, listed = votes
+            p = _joint(votes, np.tile(prior, len(pdf)), conf)[:, 1].sum(axis=1).reshape(-1, k)
             if alone is not None:
                 rest = np.delete(p, alone, axis=1)
                 none = p[:, alone] * np.prod(1 - rest, axis=1)
@@ -165,14 +173,14 @@ def posteriors(sents: DataFrame, model, exclusive: str | None = "None") -> DataF
                 q = np.minimum(1.0, p * (w / any_)[:, None])
                 q[:, alone] = 1 - w
                 p = q
-            votes = ((v == 0) | (v == 1)).sum(axis=1)
+            n = lambda of: np.bincount(item[of], minlength=len(listed)).astype("int32")  # noqa: B023, E731
             yield pd.DataFrame({
                 "sentence_id": np.repeat(pdf["sentence_id"].to_numpy(), k),
                 "label": list(LABELS) * len(pdf),
                 "listed": listed,
-                "n_votes": votes.astype("int32"),
-                "n_yes": (v == 1).sum(axis=1).astype("int32"),
-                "n_annotators": (v >= 0).sum(axis=1).astype("int32"),
+                "n_votes": n(vote != UNKNOWN),
+                "n_yes": n(vote == 1),
+                "n_annotators": n(vote >= 0),
                 "p": p.ravel(),
             })
 
