@@ -10,7 +10,7 @@ and only the rows of that one bucket (1/4096 of a category) are ranked.
 
 Defined results: repeated doc_ids count once; rows with unknown context or actor, or a null post_chatgpt, are
 not eligible; equal keys are ordered by doc_id; a document that matches several targets of a plan is drawn for
-the one with the smallest id (``available`` still counts it for each); empty tables give empty samples; extra
+the one with the smallest id (``available`` still counts it for each; ``p6_drawn`` tells what that costs); empty tables give empty samples; extra
 columns are ignored.
 """
 from __future__ import annotations
@@ -42,39 +42,55 @@ def eligible(corpus: DataFrame, dim_actor: DataFrame) -> DataFrame:
     return one.groupBy("doc_id").agg(F.min(F.struct("context", "actor", "post")).alias("c")).select("doc_id", "c.*")
 
 
-def _matches(cells: DataFrame, targets: DataFrame) -> DataFrame:
-    """Category cells joined with the targets they count for; a null in a target means any value."""
-    t = targets.select(
+def _variants(cells: DataFrame) -> DataFrame:
+    """Each category cell under the eight target patterns that it counts for: a null in a target means any value."""
+    either = lambda c: F.explode(F.array(F.col(c), F.lit(None).cast(dict(cells.dtypes)[c])))
+    out = cells.withColumn("t_context", either("context")).withColumn("t_actor", either("actor"))
+    return out.withColumn("t_post", either("post"))
+
+
+def _targets(targets: DataFrame) -> DataFrame:
+    return targets.select(
         "target_id", "plan", "sample_pct", "target_pm", "min_rows",
-        squash(F.col("context")).alias("t_context"), squash(F.col("actor")).alias("t_actor"), F.col("post_chatgpt").cast("int").alias("t_post"),
-    )
-    hit = (
-        (F.col("t_context").isNull() | (F.col("t_context") == F.col("context")))
-        & (F.col("t_actor").isNull() | (F.col("t_actor") == F.col("actor")))
-        & (F.col("t_post").isNull() | (F.col("t_post") == F.col("post")))
+        squash(F.col("context")).alias("w_context"), squash(F.col("actor")).alias("w_actor"), F.col("post_chatgpt").cast("int").alias("w_post"),
     )
-    return t, hit
+
+
+#: An equality of keys, so neither side has to be small.
+_HIT = "t_context <=> w_context AND t_actor <=> w_actor AND t_post <=> w_post"
+
+
+def _take(score: list[int], room: list[int], need: int) -> list[int]:
+    """How many units each gives if ``need`` are taken one by one from the highest score, each unit lowering its own
+    by 1,000, never more than ``room``; of equals the first.  Found by bisection of the last score, not by units."""
+    need = min(need, sum(room))
+    above = lambda t: [min(r, max(0, (s - t) // 1000 + 1)) for s, r in zip(score, room)]  # noqa: E731  # units of score >= t
+    if need <= 0:
+        return [0] * len(score)
+    low, high = min(s - 1000 * r for s, r in zip(score, room)), max(score) + 1  # all units at low, none at high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if sum(above(mid)) >= need else (low, mid)
+    out, last = above(high), above(low)
+    for i in range(len(out)):
+        more = min(last[i] - out[i], need - sum(out))
+        out[i] += max(0, more)
+    return out
 
 
 def allocate(rows: pd.DataFrame, size: int) -> list[int]:
     """Integer quotas summing to ``size`` where possible: floors first, then the rest in proportion to
-    target_pm by largest remainder, never above ``available``; ties go to the smaller target_id."""
-    n = len(rows)
+    target_pm by largest remainder, never above ``available``; ties go to the first row."""
     cap = [int(x) for x in rows["available"]]
-    want = [pm * size / 1000 for pm in rows["target_pm"]]
+    want = [int(pm) * size for pm in rows["target_pm"]]  # in thousandths
     floor = [min(int(m), c) for m, c in zip(rows["min_rows"], cap)]
-    quota = [min(c, max(f, math.floor(w))) for f, w, c in zip(floor, want, cap)]
-    while sum(quota) > size:  # floors take their rows from the most overfilled category above its floor
-        over = [(quota[i] - want[i], -rows["target_id"].iat[i], i) for i in range(n) if quota[i] > floor[i]]
-        if not over:
-            break
-        quota[max(over)[2]] -= 1
-    while sum(quota) < size:
-        left = [(want[i] - quota[i], -rows["target_id"].iat[i], i) for i in range(n) if quota[i] < cap[i]]
-        if not left:
-            break
-        quota[max(left)[2]] += 1
-    return quota
+    quota = [min(c, max(f, w // 1000)) for f, w, c in zip(floor, want, cap)]
+    over = sum(quota) - size
+    if over > 0:  # floors take their rows from the most overfilled categories above their floors
+        less = _take([1000 * q - w for q, w in zip(quota, want)], [q - f for q, f in zip(quota, floor)], over)
+        return [q - x for q, x in zip(quota, less)]
+    more = _take([w - 1000 * q for q, w in zip(quota, want)], [c - q for q, c in zip(quota, cap)], -over)
+    return [q + x for q, x in zip(quota, more)]
 
 
 _REPORT = "target_id int, plan string, sample_rows bigint, needed bigint, available bigint, quota bigint, shortfall bigint, met boolean"
@@ -83,8 +99,7 @@ _REPORT = "target_id int, plan string, sample_rows bigint, needed bigint, availa
 def report(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per target: rows needed, rows available, the quota allocated and whether the target is met."""
     cells = docs.groupBy("context", "actor", "post").count()
-    t, hit = _matches(cells, targets)
-    have = t.join(small(cells), hit, "left").groupBy("target_id", "plan", "sample_pct", "target_pm", "min_rows").agg(
+    have = _targets(targets).join(_variants(cells), F.expr(_HIT), "left").groupBy("target_id", "plan", "sample_pct", "target_pm", "min_rows").agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("available")
     )
     total = cells.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("e"))  # one row
@@ -106,8 +121,7 @@ def report(docs: DataFrame, targets: DataFrame) -> DataFrame:
 def draw(docs: DataFrame, targets: DataFrame, quotas: DataFrame, seed: int = 17) -> DataFrame:
     """The sample: (plan, target_id, doc_id), the ``quota`` smallest keys of each target."""
     cells = docs.groupBy("context", "actor", "post").count().drop("count")
-    t, hit = _matches(cells, targets)
-    owner = t.join(small(cells), hit).groupBy("context", "actor", "post", "plan").agg(F.min("target_id").alias("target_id"))
+    owner = _targets(targets).join(_variants(cells), F.expr(_HIT)).groupBy("context", "actor", "post", "plan").agg(F.min("target_id").alias("target_id"))
     keyed = docs.join(small(owner), ["context", "actor", "post"]).select(
         "doc_id", "plan", "target_id", F.xxhash64(F.lit(seed), "plan", "doc_id").alias("key")
     ).withColumn("bucket", F.shiftrightunsigned("key", 64 - BUCKET_BITS).cast("int"))
@@ -144,7 +158,16 @@ def p6_sample(spark: SparkSession, sf: str) -> DataFrame:
     return draw(docs, targets, report(docs, targets))
 
 
-QUERIES = {"p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample}
+def p6_drawn(spark: SparkSession, sf: str) -> DataFrame:
+    """Per target: its quota, the rows drawn for it and what the sample lacks (rows that an overlapping target took)."""
+    docs, targets = cut(_docs(spark, sf)), table(spark, sf, "sample_targets")
+    quotas = cut(report(docs, targets))
+    n = draw(docs, targets, quotas).groupBy("target_id").agg(F.count(F.lit(1)).alias("drawn"))
+    out = quotas.select("target_id", "plan", "quota").join(n, "target_id", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    return out.withColumn("lacking", F.col("quota") - F.col("drawn"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample, "p6_drawn": p6_drawn}
 
 _SQ = r"lower(trim(regexp_replace({}, '[\s\p{{Z}}]+', ' ', 'g')))"
 _ELIGIBLE = f"""

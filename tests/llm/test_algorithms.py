@@ -124,6 +124,30 @@ def test_allocation():
     assert sum(quota.allocate(rows.assign(available=3), 50)) == 9  # nothing left to take
 
 
+def one_by_one(rows, size):
+    """Quotas with one row moved at a time."""
+    cap, want = rows["available"].tolist(), [pm * size for pm in rows["target_pm"].tolist()]
+    floor = [min(m, c) for m, c in zip(rows["min_rows"].tolist(), cap)]
+    q = [min(c, max(f, w // 1000)) for f, w, c in zip(floor, want, cap)]
+    while sum(q) > size and any(a > b for a, b in zip(q, floor)):
+        q[max((1000 * q[i] - want[i], -i) for i in range(len(q)) if q[i] > floor[i])[1] * -1] -= 1
+    while sum(q) < size and any(a < b for a, b in zip(q, cap)):
+        q[max((want[i] - 1000 * q[i], -i) for i in range(len(q)) if q[i] < cap[i])[1] * -1] += 1
+    return q
+
+
+def test_allocation_equals_moving_rows_one_by_one():
+    rng = random.Random(9)
+    for _ in range(400):
+        n = rng.randrange(1, 8)
+        cuts = sorted(rng.randrange(0, 1001) for _ in range(n - 1))
+        rows = pd.DataFrame({"target_id": range(n), "target_pm": [b - a for a, b in zip([0, *cuts], [*cuts, 1000])], "min_rows": [rng.randrange(0, 30) for _ in range(n)], "available": [rng.choice([0, 5, 50, 400]) for _ in range(n)]})
+        size = rng.randrange(0, 300)
+        assert quota.allocate(rows, size) == one_by_one(rows, size)
+    big = pd.DataFrame({"target_id": [1, 2], "target_pm": [900, 100], "min_rows": [0, 0], "available": [10, 10**12]})
+    assert quota.allocate(big, 10**11) == [10, 10**11 - 10]
+
+
 def test_sample_follows_quotas(spark):
     docs = spark.createDataFrame([(f"d{i}", "policy" if i % 4 else "public", "a", 0) for i in range(2000)], "doc_id string, context string, actor string, post int")
     t = spark.createDataFrame([(1, "p", 10, "Policy ", None, None, 300, 5), (2, "p", 10, "public", None, None, 700, 5), (3, "q", 1, "commercial", None, None, 1000, 2)],
@@ -181,6 +205,15 @@ def test_consensus_beats_majority(spark):
     assert all(r.kappa is None or r.kappa <= 1 for r in k.values())
 
 
+def test_many_annotators_take_memory_by_votes(spark):
+    rows = [(f"s{i}", f"Risk/Harm: A{i}=1 B{i % 7}=1 C{i % 5}=0; None: A{i}=0 B{i % 7}=0 C{i % 5}=1") for i in range(20_000)]
+    s = consensus.sentences(spark.createDataFrame(rows, "sentence_id string, disagreements string"))
+    names, prior, conf = consensus.fit(s, max_steps=4)
+    assert len(names) == 20_012 and conf.shape == (20_012, 2)
+    got = consensus.posteriors(s, (names, prior, conf)).where("listed")
+    assert got.count() == 40_000 and got.where("n_votes <> 3 or n_annotators <> 3").count() == 0
+
+
 def test_consensus_empty(spark):
     df = spark.createDataFrame([], "sentence_id string, disagreements string, n_disagreements int")
     s = consensus.sentences(df)
