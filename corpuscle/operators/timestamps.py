@@ -6,9 +6,11 @@ back in time.  A prior cost of ``RULED_OUT`` marks readings that the project's r
 two possible instants, month first outside America, ...): it exceeds any sum of two transition costs, so
 sequence evidence decides only where the rules leave a choice.
 
-Scale: sources may be arbitrarily hot.  Rows are range-partitioned by (source, order), never grouped by source;
-each partition yields only the min-plus summary of its first and last source segment, the driver chains those
-(two short rows per partition), and a second pass over the checkpointed partitions emits the exact path.
+Scale: sources may be arbitrarily hot.  Rows are range-partitioned by (source, order) into parts of ``PART_ROWS``,
+never grouped by source, and only then parsed, once; each partition yields only the min-plus summary of its first and
+last source segment, the driver chains those (two short rows per partition), and a second pass over the checkpointed
+partitions streams the exact path: what all remaining paths agree on is written and forgotten, which a record with
+one reading always brings about.
 
 Defined results: null, blank, nonsense and partial dates (no day) have no interpretation and give null;
 rows without an actor or with an unknown zone read zoneless times as UTC; repeated rows are kept.
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from ..session import cut, small, squash, table
 
 SWITCH, BACKWARD, RULED_OUT = 1.0, 1.0, 100.0
+#: Rows of a partition; undecided records after which the remaining paths are compared.
+PART_ROWS, OPEN = 1_000_000, 1024
 
 # Month names and zone abbreviations as people write them.
 MONTHS = {}
@@ -218,10 +222,49 @@ def with_interpretations(df: DataFrame, value: str, zone: str, keep: list[str])
     return df.select(*keep, value, readings(F.col(value), F.col(zone)).alias("cand"))
 
 
-def _segments(pdfs: Iterator[pd.DataFrame]):
-    """Rows of one partition in order, as one frame; rows without a reading do not take part."""
-    frames = [p for p in pdfs if len(p)]
-    return pd.concat(frames, ignore_index=True) if frames else None
+class _Chooser:
+    """Viterbi over a stream of records: decided ones are handed out in ``done`` as {frame: [(row, format, norm)]}."""
+
+    def __init__(self, entry: np.ndarray | None, leave: np.ndarray | None):
+        self.entry, self.leave = entry, leave
+        self.source, self.open, self.limit, self.done = None, [], OPEN, {}
+
+    def _settle(self, upto: int, at: int) -> None:
+        for frame, row, states, back in reversed(self.open[:upto]):
+            fmt, day, sec, _ = states[at]
+            self.done.setdefault(frame, []).append((row, fmt, render(day, sec)))
+            at = int(back[at]) if back is not None else at
+        del self.open[:upto]
+
+    def add(self, frame: int, row: int, source: str, states: list[tuple]) -> None:
+        back = None
+        if source != self.source:
+            if self.open:
+                self._settle(len(self.open), int(self.cost.argmin()))
+            self.cost = np.array([s[3] for s in states]) if self.entry is None else self.entry
+            self.source, self.entry, self.limit = source, None, OPEN
+        else:
+            total = self.cost[:, None] + _step(self.last, states)
+            back, self.cost = total.argmin(axis=0), total.min(axis=0)
+        self.last = states
+        self.open.append((frame, row, states, back))
+        if len(states) == 1:
+            self._settle(len(self.open), 0)
+        elif len(self.open) >= self.limit:
+            alive = set(range(len(states)))
+            for j in range(len(self.open) - 1, -1, -1):
+                if len(alive) == 1:
+                    self._settle(j + 1, alive.pop())
+                    break
+                back = self.open[j][3]
+                if back is None:
+                    break
+                alive = {int(back[x]) for x in alive}
+            self.limit = max(OPEN, 2 * len(self.open))
+
+    def end(self) -> None:
+        if self.open:
+            self._settle(len(self.open), int((self.cost if self.leave is None else self.cost + self.leave).argmin()))
 
 
 def normalise(df: DataFrame, source: str, order: list[str], value: str, zone: str, keep: list[str], partitions: int | None = None) -> DataFrame:
@@ -230,7 +273,7 @@ def normalise(df: DataFrame, source: str, order: list[str], value: str, zone: st
     ``source`` and ``order`` columns define the sequences; they need not be in ``keep``.
     """
     spark = df.sparkSession
-    n = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PART_ROWS))
     renamed = df.select(
         *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
         F.coalesce(F.col(source), F.lit("")).alias("_src"),
@@ -239,9 +282,9 @@ def normalise(df: DataFrame, source: str, order: list[str], value: str, zone: st
         F.col(zone).alias("_zone"),
     )
     ks, os_ = [f"k{i}" for i in range(len(keep))], [f"o{i}" for i in range(len(order))]
-    cand = with_interpretations(renamed, "_val", "_zone", [*ks, "_src", *os_])
-    ranged = cand.repartitionByRange(n, "_src", *os_).sortWithinPartitions("_src", *os_, *ks)
-    ranged = cut(ranged.select(F.spark_partition_id().alias("_pid"), *ks, "_src", "cand"))
+    ranged = renamed.repartitionByRange(n, "_src", *os_).sortWithinPartitions("_src", *os_, *ks)
+    ranged = with_interpretations(ranged.withColumn("_pid", F.spark_partition_id()), "_val", "_zone", ["_pid", *ks, "_src"])
+    ranged = cut(ranged.select("_pid", *ks, "_src", "cand"))
 
     def summary(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Of the first and the last source of the partition: the readings at both ends and the costs between."""
@@ -299,26 +342,34 @@ def normalise(df: DataFrame, source: str, order: list[str], value: str, zone: st
         nxt = (runs[0], at_first)
 
     def choose(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = _segments(pdfs)
-        if pdf is None:
-            return
-        norm: list = [None] * len(pdf)
-        fmt: list = [None] * len(pdf)
-        pid = int(pdf["_pid"].iloc[0])
-        live = [i for i, c in enumerate(pdf["cand"]) if len(c)]
-        groups: list[list[int]] = []
-        src = pdf["_src"].tolist()
-        for i in live:
-            if groups and src[groups[-1][-1]] == src[i]:
-                groups[-1].append(i)
-            else:
-                groups.append([i])
-        for j, idx in enumerate(groups):
-            states = [_unpack(pdf["cand"].iat[i]) for i in idx]
-            path = viterbi(states, entry.get(pid) if j == 0 else None, leave.get(pid) if j == len(groups) - 1 else None)
-            for i, s, k in zip(idx, states, path):
-                fmt[i], norm[i] = s[k][0], render(s[k][1], s[k][2])
-        yield pdf[ks].assign(norm=norm, fmt=fmt)
+        path, frames = None, {}
+
+        def decided() -> Iterator[pd.DataFrame]:
+            for no, rows in path.done.items():
+                at, fmt, norm = zip(*rows)
+                yield frames[no][0].iloc[list(at)].assign(norm=norm, fmt=fmt)
+                frames[no][1] -= len(at)
+                if not frames[no][1]:
+                    del frames[no]
+            path.done = {}
+
+        for no, pdf in enumerate(pdfs):
+            if not len(pdf):
+                continue
+            if path is None:
+                pid = int(pdf["_pid"].iloc[0])
+                path = _Chooser(entry.get(pid), leave.get(pid))
+            told = [len(c) > 0 for c in pdf["cand"]]
+            if not all(told):
+                yield pdf.loc[[not x for x in told], ks].assign(norm=None, fmt=None)
+            frames[no] = [pdf[ks], sum(told)]
+            for i, (src, c) in enumerate(zip(pdf["_src"], pdf["cand"])):
+                if told[i]:
+                    path.add(no, i, src, _unpack(c))
+            yield from decided()
+        if path is not None:
+            path.end()
+            yield from decided()
 
     types = dict(ranged.dtypes)
     out = ranged.mapInPandas(choose, ", ".join(f"{k} {types[k]}" for k in ks) + ", norm string, fmt string")
@@ -327,7 +378,7 @@ def normalise(df: DataFrame, source: str, order: list[str], value: str, zone: st
 
 def corpus_dates(spark: SparkSession, sf: str) -> DataFrame:
     """corpus with ``home_zone`` joined by the actor's squashed name."""
-    dim = table(spark, sf, "dim_actor").select(squash(F.col("actor")).alias("_src"), "home_zone").dropDuplicates(["_src"])
+    dim = table(spark, sf, "dim_actor").select(squash(F.col("actor")).alias("_src"), "actor", "home_zone").groupBy("_src").agg(F.min_by("home_zone", F.struct("actor", "home_zone")).alias("home_zone"))
     docs = table(spark, sf, "corpus").select("doc_id", "date", "scraped_at", squash(F.col("actor")).alias("_src"))
     return docs.join(small(dim), "_src", "left")
 

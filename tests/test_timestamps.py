@@ -91,6 +91,28 @@ def test_partitions_do_not_change_the_path(spark):
     assert len(set(cost.values())) == 1
 
 
+def test_streamed_path_is_the_whole_path(monkeypatch):
+    monkeypatch.setattr(T, "OPEN", 5)
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        chain = []
+        for src in ("a", "b", "c"):
+            for _ in range(rng.integers(1, 60)):
+                chain.append((src, [(str(rng.integers(3)), False, int(rng.integers(9)), float(rng.integers(2))) for _ in range(rng.integers(1, 4) if rng.random() < 0.1 else rng.integers(2, 4))]))
+        leave = rng.random(len(chain[-1][1]))
+        c = T._Chooser(None, leave)
+        for i, (src, states) in enumerate(chain):
+            c.add(0, i, src, states)
+        assert len(c.open) < len(chain)
+        c.end()
+        got = {row: (fmt, norm) for row, fmt, norm in c.done[0]}
+        for src in ("a", "b", "c"):
+            idx = [i for i, (x, _) in enumerate(chain) if x == src]
+            states = [chain[i][1] for i in idx]
+            path = T.viterbi(states, None, leave if src == "c" else None)
+            assert [got[i] for i in idx] == [(s[k][0], T.render(s[k][1], s[k][2])) for s, k in zip(states, path)]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id string, src string, date string, at timestamp, zone string")
     assert T.normalise(df, "src", ["at"], "date", "zone", ["doc_id"]).count() == 0
