@@ -1,12 +1,13 @@
 """The main body of web pages whose text mixes it with menus, notices, teasers and footers.
 
 Method: each page runs through the standard library's streaming parser; per line, text and tag events give a
-text-to-tag ratio, where the marks that stand for tags once a page is stripped (bullets, link separators, ellipses)
-count as tags.  The ratios are smoothed by a Gaussian and clustered by a threshold into content regions.  Only
-lines inside or next to a region (lists and headed paragraphs go on from there, the title stands before it) can be kept;
-they are kept or dropped by what they are: families of notices and controls, lines that
-return on many pages (learned: line counts and how often a paragraph follows tell menus from headings), teaser
-blocks, the title before the first paragraph, list items and headings between paragraphs.
+text-to-tag ratio.  Pages mostly come stripped of their markup, so what stood in tags is told by what is left of them:
+the marks between links (bullets, separators, ellipses) count as tags, and the text of controls, notices and links
+(families of them, and lines that return on many pages: learned counts, and how often a paragraph follows, tell menus from
+headings) is text of tags, with a ratio of nothing.  The ratios are smoothed by a Gaussian and clustered by a threshold
+into content regions, which decide.  Corrections follow at the edges of regions only, for lines too short for a
+ratio to tell: the title before the first paragraph, headings that lead to something of the article, list items, and a
+paragraph next to a region.
 
 Scale: one aggregation of masked short lines (map-side combining; only lines on at least ``SHARE`` of the pages travel
 to the tasks, at most ``1 / SHARE`` times the lines of a page), then a map over the scan.
@@ -33,6 +34,8 @@ from ..session import spread, squash, table
 
 WEB = ("blog", "regulatory_doc")
 SHARE, SIGMA = 0.001, 1.5
+#: Bounds of the threshold.
+LEAST, MOST = 8.0, 20.0
 
 _TAGLIKE = re.compile(r"[|·›»•☰►▸→]|\s{2,}\S|^\s*[*+]\s|…$")
 _END = re.compile(r"[.!?。！？।؟]['\"”»’)\]]*$")
@@ -79,36 +82,44 @@ TEASERS = re.compile(
 
 
 class _Lines(HTMLParser):
-    """Text characters and tags per line, from parser events."""
+    """Text and tags per line, from parser events; scripts and styles are no text."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.chars: Counter = Counter()
+        self.text: dict[int, str] = {}
         self.tags: Counter = Counter()
+        self.hidden = False
 
     def handle_starttag(self, tag, attrs):
         self.tags[self.getpos()[0] - 1] += 1
+        self.hidden = tag in ("script", "style")
 
     def handle_endtag(self, tag):
         self.tags[self.getpos()[0] - 1] += 1
+        self.hidden = False
 
     def handle_data(self, data):
         at = self.getpos()[0] - 1
-        for i, part in enumerate(data.split("\n")):
-            self.chars[at + i] += len(part.strip())
+        if not self.hidden:
+            for i, part in enumerate(data.split("\n")):
+                self.text[at + i] = self.text.get(at + i, "") + part
 
 
-def densities(lines: list[str]) -> np.ndarray:
-    """Text-to-tag ratio of each line."""
-    text = "\n".join(lines)
+def visible(text: str) -> tuple[list[str], list[int]]:
+    """The text of each line, and the tags in it."""
+    lines = text.split("\n")
     if "<" in text and ">" in text:
         p = _Lines()
         p.feed(text)
         p.close()
-        chars, tags = [p.chars[i] for i in range(len(lines))], [p.tags[i] for i in range(len(lines))]
-    else:  # no tag can start: each line is one text event
-        chars, tags = [len(x.strip()) for x in lines], [0] * len(lines)
-    return np.array([c / (1 + t + (len(_TAGLIKE.findall(x.strip())) if 0 < c <= LONG else 0)) for c, t, x in zip(chars, tags, lines)], dtype=float)
+        if p.tags:
+            return [p.text.get(i, "") for i in range(len(lines))], [p.tags[i] for i in range(len(lines))]
+    return lines, [0] * len(lines)  # no tag: each line is one text event
+
+
+def densities(lines: list[str], tags: list[int], linked: list[bool]) -> np.ndarray:
+    """Text-to-tag ratio of each line; ``linked``: its text is that of tags."""
+    return np.array([0.0 if a else len(s) / (1 + t + len(_TAGLIKE.findall(s))) for s, t, a in zip(map(str.strip, lines), tags, linked)], dtype=float)
 
 
 def smooth(r: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -117,10 +128,9 @@ def smooth(r: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(r, g / g.sum(), mode="full")[len(k) // 2 : len(k) // 2 + len(r)]
 
 
-def regions(lines: list[str]) -> np.ndarray:
-    """Which lines lie in a content region: smoothed ratio above the page's standard deviation."""
-    r = densities(lines)
-    return smooth(r) >= max(12.0, min(float(r.std()), 40.0))
+def regions(r: np.ndarray) -> np.ndarray:
+    """Which lines lie in a content region: a ratio of their own, and a smoothed one above half the page's standard deviation."""
+    return (smooth(r) >= max(LEAST, min(float(r.std()) / 2, MOST))) & (r > 0) if len(r) else r > 0
 
 
 def _long_notice(s: str) -> bool:
@@ -172,7 +182,7 @@ def learn(pages: DataFrame, text: str = "text", host: str = "host") -> Model:
                 if not t or t.isspace():
                     continue
                 pages += 1
-                lines = [x for x in t.split("\n") if x.strip()]
+                lines = [x for x in visible(t)[0] if x.strip()]
                 seen = {}
                 page = int.from_bytes(blake2b(t.encode("utf-8", "surrogatepass"), digest_size=7).digest())
                 for x, y in zip(lines, [*lines[1:], ""]):
@@ -261,17 +271,16 @@ def plain_content(text: str, m: Model, host: str | None) -> str | None:
     """A long paragraph that is content beyond doubt and no notice, if the page has one."""
     from .residue import judge
 
-    for x in text.split("\n"):
+    for x in visible(text)[0]:
         s = x.strip()
         if len(s) > LONG and judge(s)[0] == "content" and _family(x) != DROP and not m.knows(s, host):
             return s
     return None
 
 
-def bounds(lines: list[str], full: list[int], kind: list[int], heads: set[int]) -> set[int]:
+def bounds(inside: np.ndarray, full: list[int], kind: list[int], heads: set[int]) -> set[int]:
     """Lines inside or next to a content region of the non-blank lines; a list goes on as long as its items do, and
     a learned heading that follows takes the paragraph that it leads with it."""
-    inside = regions([lines[i] for i in full])
     near = [bool(inside[max(0, k - 1) : k + 2].any()) for k in range(len(full))]
     for ks in (range(1, len(full)), range(len(full) - 2, -1, -1)):
         for k in ks:
@@ -279,9 +288,24 @@ def bounds(lines: list[str], full: list[int], kind: list[int], heads: set[int])
     return {i for i, n in zip(full, near) if n}
 
 
+def _teased(lines: list[str], full: list[int], kind: list[int]) -> dict[int, int]:
+    """Lines of teaser blocks, from their header to the next paragraph or control: {line: header}."""
+    block: dict[int, int] = {}
+    open_at = None
+    for i in full:
+        if kind[i] == TEASER:
+            open_at = i
+        elif open_at is not None:
+            if kind[i] in (PARA, ITEM) or kind[i] == DROP and not re.search(r"\bmin\b", lines[i]):
+                open_at = None
+            elif kind[i] in (SHORT, LINK):
+                block[i] = open_at
+    return block
+
+
 def article(text: str, m: Model, host: str | None) -> list[bool]:
     """Which lines belong to the page's own article."""
-    lines = text.split("\n")
+    lines, tags = visible(text)
     kind = _classify(lines, m, host)
     keep = [False] * len(lines)
     full = [i for i, k in enumerate(kind) if k != BLANK]
@@ -289,31 +313,26 @@ def article(text: str, m: Model, host: str | None) -> list[bool]:
         return keep
     crumbs = [lines[i].split("›")[-1].strip().rstrip("…").strip() for i in full if "›" in lines[i]]
     heading = lambda i: m.common.get(mask(lines[i], host), 0.0) >= 0.5 and not _LIST.match(lines[i]) and not re.search(r"\d", lines[i])
-    within = bounds(lines, full, kind, {i for i in full if kind[i] in (SHORT, LINK) and heading(i)})
+    heads = {i for i in full if kind[i] in (SHORT, LINK) and heading(i)}
+    block = _teased(lines, full, kind)
+    linked = [kind[i] in (DROP, TEASER) or (kind[i] == LINK or i in block) and i not in heads for i in full]
+    inside = regions(densities([lines[i] for i in full], [tags[i] for i in full], linked))
+    within = bounds(inside, full, kind, heads)
     only = kind.count(PARA) == 1
     paras = [i for i in full if kind[i] == PARA and (i in within or only)]
     if not paras:
         return keep
+    first, last = paras[0], paras[-1]
+    for i, n in zip(full, inside):
+        keep[i] = bool(n) if kind[i] not in (ITEM, SHORT, LINK) else False
     for i in paras:
         keep[i] = True
-    first, last = paras[0], paras[-1]
     nxt = {}
     follow = None
     for i in reversed(full):
         nxt[i] = follow
-        if kind[i] not in (DROP,):
+        if kind[i] != DROP:
             follow = i
-    # teaser blocks: from their header to the next paragraph or control
-    block: dict[int, int] = {}
-    open_at = None
-    for i in full:
-        if kind[i] == TEASER:
-            open_at = i
-        elif open_at is not None:
-            if kind[i] in (PARA, ITEM) or kind[i] == DROP and not re.search(r"\bmin\b", lines[i]):
-                open_at = None
-            elif kind[i] in (SHORT, LINK):
-                block[i] = open_at
     # the title: the last short line before the first paragraph, unless a title stands before the block it is in
     before = [i for i in full if i < first and kind[i] == SHORT]
     titled = [i for i in before if any(c and lines[i].strip().startswith(c) for c in crumbs)]
@@ -321,18 +340,18 @@ def article(text: str, m: Model, host: str | None) -> list[bool]:
         near = before[-1]
         if titled:
             keep[titled[-1]] = True
-            if near != titled[-1] and heading(near):
+            if near != titled[-1] and near in heads:
                 keep[near] = True
         else:
             keep[near] = True
             if near in block:
                 ahead = [i for i in before if i < block[near] and i not in block]
-                if ahead and not heading(near):
+                if ahead and near not in heads:
                     keep[near], near = False, ahead[-1]
                     keep[near] = True
-            if heading(near) and len(before) > 1:
+            if near in heads and len(before) > 1:
                 up = [i for i in before if i < near]
-                if up and (up[-1] not in block or near in block or True):
+                if up:
                     keep[up[-1]] = True
     # between the paragraphs: list items, and headings that something follows
     for i in full:
@@ -343,15 +362,15 @@ def article(text: str, m: Model, host: str | None) -> list[bool]:
         elif kind[i] == SHORT and i < last:
             f = nxt[i]
             lead = f is not None and (kind[f] == PARA and (f in within or only) or kind[f] == ITEM and f in within)
-            keep[i] = lead and (heading(i) or i not in block)
-        elif kind[i] == LINK and i < last and heading(i) and i not in block:
+            keep[i] = lead and (i in heads or i not in block)
+        elif kind[i] == LINK and i < last and i in heads and i not in block:
             keep[i] = True
     for i in full:  # items before the first paragraph only right after the title
         if kind[i] == ITEM and i < first and any(keep[j] and kind[j] == SHORT for j in range(max(0, i - 6), i)):
             keep[i] = True
     # a heading with nothing of its own after the last paragraph but items
     for i in full:
-        if i > last and kind[i] == SHORT and i not in block and heading(i):
+        if i > last and kind[i] == SHORT and i not in block and i in heads:
             f = nxt[i]
             keep[i] = f is not None and kind[f] == ITEM and f in within
     return keep
@@ -359,7 +378,7 @@ def article(text: str, m: Model, host: str | None) -> list[bool]:
 
 def article_text(text: str, m: Model, host: str | None, only_kept: bool = True) -> str:
     """The article, or (for judging pages without one) all that no notice or menu explains."""
-    lines = text.split("\n")
+    lines, _ = visible(text)
     if only_kept:
         return "\n".join(x for x, k in zip(lines, article(text, m, host)) if k)
     kind = _classify(lines, m, host, judging=True)
@@ -419,7 +438,7 @@ def p1_articles(spark: SparkSession, sf: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def body(t: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(s for s, k in zip(x.split("\n"), own(x, shared.value, y)) if k) for x, y in zip(t, h)], dtype=object)
+        return pd.Series(["\n".join(s for s, k in zip(visible(x)[0], own(x, shared.value, y)) if k) for x, y in zip(t, h)], dtype=object)
 
     return pages.select("doc_id", body("text", "host").alias("article")).distinct()
 

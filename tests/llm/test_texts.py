@@ -104,9 +104,38 @@ def test_pages(spark):
     assert B.furniture(df.limit(0)).count() == 0
 
 
-def test_markup_counts_as_tags():
-    d = B.densities(['<ul><li><a href="x">One</a></li></ul>', "<p>A plain sentence of running text.</p>"])
-    assert d[1] > 5 * d[0]
+MARKUP = """<nav><ul><li><a href="/">Galleries</a></li><li><a href="/n">Vane news</a></li></ul></nav>
+<div class="main">
+<h1>The cost of a long delay</h1>
+<p>The committee said on Monday that the plan would be <b>dropped</b> after months of talks &amp; a vote.</p>
+<p>Nobody at the hearing believed that the second plan could be paid for
+by the end of the decade.</p>
+<script>var x = "The council met on Monday and agreed on the plan for the river.";</script>
+</div>
+<div><a href="/a">Tickets</a> <a href="/b">Opening hours</a> <a href="/c">Plan your visit</a></div>
+<div><a href="/d">Shops</a></div>
+<footer><a href="/i">Imprint</a> | <a href="/t">Terms of use</a></footer>"""
+
+
+def test_markup_counts_as_tags(spark):
+    lines, tags = B.visible('<ul><li><a href="x">One</a></li></ul>\n<p>A plain sentence of running text.</p>')
+    d = B.densities(lines, tags, [False, False])
+    assert lines[0] == "One" and d[1] > 5 * d[0]
+    keep = B.article(MARKUP, B.Model({}, set()), "acme")
+    assert [i for i, k in enumerate(keep) if k] == [2, 3, 4, 5]
+    df = spark.createDataFrame([("p", MARKUP, "acme"), ("q", "A title\nIf a < b and b > c, the council said, then the plan of the town is to be dropped at last.", "acme")], "doc_id string, text string, host string")
+    got = {(r.doc_id, r.line_no) for r in B.furniture(df).collect()}
+    assert got == {("p", i) for i in (0, 1, 6, 7, 8, 9, 10)}
+
+
+def test_regions_decide(monkeypatch):
+    args = PAGE, B.Model({}, set()), "acme"
+    kept = B.article(*args)
+    n = sum(bool(x.strip()) for x in PAGE.split("\n"))
+    monkeypatch.setattr(B, "regions", lambda r: r >= 0)
+    assert sum(B.article(*args)) > n - 4 > sum(kept)
+    monkeypatch.setattr(B, "regions", lambda r: r < 0)
+    assert not any(B.article(*args))
 
 
 @pytest.mark.parametrize(
