@@ -241,7 +241,7 @@ def _message(line: str) -> bool:
     """Whether a line by itself is, or may be, a message in place of content."""
     from .residue import judge
 
-    return judge(line.strip())[0] in ("residue", "weak")
+    return judge(line.strip()) in ("residue", "weak")
 
 
 def _classify(lines: list[str], m: Model, host: str | None, judging: bool = False) -> list[int]:
@@ -273,7 +273,7 @@ def plain_content(text: str, m: Model, host: str | None) -> str | None:
 
     for x in visible(text)[0]:
         s = x.strip()
-        if len(s) > LONG and judge(s)[0] == "content" and _family(x) != DROP and not m.knows(s, host):
+        if len(s) > LONG and judge(s) == "content" and _family(x) != DROP and not m.knows(s, host):
             return s
     return None
 
@@ -394,7 +394,7 @@ def own(text: str, m: Model, host: str | None) -> list[bool]:
     from .residue import judge
 
     keep = article(text, m, host)
-    if any(keep) and not plain_content(text, m, host) and judge(article_text(text, m, host, False))[0] == "residue":
+    if any(keep) and not plain_content(text, m, host) and judge(article_text(text, m, host, False)) == "residue":
         return [False] * len(keep)
     return keep
 

@@ -1,22 +1,28 @@
 """Records with template residue, filler, error messages or demands for scripts in place of their content.
 
 Method: sentence by sentence, placeholder and filler detectors and families of server and script messages mark what
-is no content; a text is residue when something is marked and no sentence of its own is left.  What only looks like
-a message (weak terms) is decided by evidence from the corpus: the same low-information skeleton (names and numbers
-masked) returned for several records of different hosts, or of one host under different titles whose terms do not
-return in the body.  A row has no address here, so the host is the actor and the title is the first line.
-
-Scale: texts are judged in a map over the scan; only short texts without an own sentence yield a skeleton, whose
-counts combine map-side.  Pages of the web platforms lose their furniture first
-(``boilerplate``, with the line statistics learned there) unless a long paragraph settles the matter.
+is no content; a text is residue when something is marked and no sentence of its own is left.  Other low-information
+texts (at most ``SHORT_WORDS`` words) are decided by combined evidence from the corpus.  They must speak like a message: by
+weak terms, or by their words, weighed by how much more often residue found by the detectors has them than other
+short texts.  And they must be a response returned for several records: the same skeleton (names and numbers masked)
+on different hosts, or under different titles whose terms do not return in the body.  A row has no address here, so the
+host is the actor and the title, which a slug would repeat, is the first line.
+
+Scale: texts are judged in a map over the scan; short texts are kept once, and of those only what speaks like a
+message is grouped, by a hash of its skeleton, with map-side combining.  The words that are weighed stand in ``SHARE``
+of the residue rows at least, so they are at most ``SHORT_WORDS / SHARE`` (80,000).  Pages of the web platforms lose their
+furniture first (``boilerplate``, with the line statistics learned there) unless a long paragraph settles the matter.
 
 Defined results: null and blank texts are no case (they have nothing in place of content); a text that mentions
-such things in sentences of its own, or has a notice at its edge, is no case; repeated rows are judged alike.
+such things in sentences of its own, or has a notice at its edge, is no case unless the corpus shows it to be a response
+returned for other records too; repeated rows are judged alike and count once; rows without a host count as one host.
 """
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -75,7 +81,9 @@ _SENTENCE = re.compile(r"(?<=[.!?…。！？।؟])[\"”»’)]*\s+|(?<=[。
 _WORDS = re.compile(r"[^\W\d_]+")
 _DENSE = re.compile(r"[؀-ۿऀ-ॿ฀-๿぀-ヿ一-鿿가-힯Ͱ-ϿЀ-ӿ]")
 _FINAL = ".!?…。！？।؟;:\"”»’)“"
-SHORT_WORDS, OWN_WORDS, REPEATS = 80, 6, 3
+SHORT_WORDS, OWN_WORDS, REPEATS, SHARE = 80, 6, 3, 0.001
+#: Weight of a word that residue does not have.
+UNSEEN = -0.5
 
 
 def _filler(words: list[str]) -> bool:
@@ -92,17 +100,15 @@ def _sentences(text: str) -> Iterator[str]:
     yield text[at:].strip()
 
 
-def judge(text: str) -> tuple[str, str | None]:
-    """('residue' | 'content' | 'weak' | 'none', skeleton of a weak text)."""
-    marked = total = 0
-    weak = False
+def judge(text: str) -> str:
+    """'residue', 'content', 'weak' (no sentence of its own, terms of a message) or 'none'."""
+    marked, weak = 0, False
     for s in _sentences(text):
         if not s:
             continue
         holes = PLACEHOLDER.findall(s)
         bare = PLACEHOLDER.sub(" ", s) if holes else s
         words = _WORDS.findall(bare.lower())
-        total += len(words)
         if holes and (len(holes) * 6 >= len(words) or len(words) <= 12 * min(len(holes), 1) or s.startswith("<!--")):
             marked += 1
         elif _filler(words) or len(words) <= 22 and STRONG.search(s):
@@ -110,51 +116,77 @@ def judge(text: str) -> tuple[str, str | None]:
         elif ASIDE.search(s) and len(words) <= 20:
             weak = True
         elif len(words) >= OWN_WORDS and s[-1] in _FINAL or len(_DENSE.findall(s)) >= 6:
-            return "content", None  # one sentence of its own decides
+            return "content"  # one sentence of its own decides
         else:
             weak = weak or bool(WEAK.search(s))
-    if marked:
-        return "residue", None
-    if weak and total <= SHORT_WORDS:
-        return "weak", re.sub(r"\b[A-ZÀ-Þ]\w+|\w*\d\w*", "X", text)
-    return "none", None
+    return "residue" if marked else "weak" if weak else "none"
+
+
+def short(text: str) -> bool:
+    return sum(1 for _ in islice(_WORDS.finditer(text), SHORT_WORDS + 1)) <= SHORT_WORDS
+
+
+def skeleton(text: str) -> str:
+    """The text with names and numbers masked."""
+    return " ".join(re.sub(r"\b[A-ZÀ-Þ]\w+|\w*\d\w*", "X", text).split())
 
 
-def titles(text: str, body: str) -> tuple[str, bool]:
-    """(first line of a text, whether no term of it returns in the rest of its body)."""
-    first = next((x.strip() for x in text.split("\n") if x.strip()), "")
+def titles(text: str) -> tuple[str, bool]:
+    """(first line of a text, whether no term of it returns in the rest of the text)."""
+    text = text.strip()
+    first = text.split("\n", 1)[0].strip()
     terms = lambda x: {w for w in _WORDS.findall(x.lower()) if len(w) > 3}
-    rest = [x for x in body.split("\n") if x.strip() and x.strip() != first]
+    rest = text[len(first) :]
     own = terms(first)
-    return first, bool(own and rest) and not own & terms("\n".join(rest))
+    return first, bool(own and rest.strip()) and not own & terms(rest)
+
+
+def weights(judged: DataFrame) -> dict[str, float]:
+    """Log ratio of the shares of residue and of other short texts that have a word, for words of residue."""
+    n = judged.agg(F.count_if(F.col("verdict") == "residue").alias("r"), F.count_if(F.col("verdict") != "residue").alias("o")).first()
+    words = judged.select("verdict", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.col("verdict") == "residue").alias("r"), F.count_if(F.col("verdict") != "residue").alias("o"))
+    rows = words.where(F.col("r") >= max(2, math.ceil(SHARE * n["r"]))).collect()
+    return {x["word"]: math.log((x["r"] + 0.5) / (n["r"] + 1)) - math.log((x["o"] + 0.5) / (n["o"] + 1)) for x in rows}
 
 
 def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "body", host: str = "host") -> DataFrame:
-    """(key, residue) of each row; ``text`` is the main content."""
+    """(key, signal) of each row that is residue: 'detector', 'hosts' or 'titles'; ``text`` is the main content."""
     kind = dict(docs.dtypes)[key]
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            if not len(pdf):
-                continue
             rows = []
             for d, t, h in zip(pdf[key], pdf[text], pdf[host]):
-                v, whole = judge(t) if t and not t.isspace() else ("none", None)
-                first, differs = titles(t, t) if v == "weak" else ("", False)
-                # a title that says nothing of its body is no part of the message
-                told = judge(t.strip()[len(first) :])[1] if differs else None
-                rows.append((d, h, v, whole, told, first if differs else None))
-            yield pd.DataFrame(rows, columns=[key, "host", "verdict", "skeleton", "message", "title"])
-
-    judged = docs.select(key, text, host).mapInPandas(run, f"{key} {kind}, host string, verdict string, skeleton string, message string, title string").where("verdict in ('residue', 'weak')")
-    judged = cut(judged.withColumn("skeleton", F.coalesce("message", "skeleton")).drop("message"))
-    # returned by several hosts (rows without one count as one), or by one under titles that its body doesn't answer
-    common = (
-        judged.where("verdict = 'weak'").groupBy("skeleton")
-        .agg(F.countDistinct(key).alias("n"), F.countDistinct(F.coalesce("host", F.lit(""))).alias("hosts"), F.countDistinct("title").alias("titles"))
-        .where((F.col("n") >= REPEATS) & ((F.col("hosts") >= 2) | (F.col("titles") >= REPEATS))).select("skeleton", F.lit(True).alias("again"))
-    )
-    return judged.join(small(common), "skeleton", "left").where("verdict = 'residue' or again").select(key)
+                if not t or t.isspace():
+                    continue
+                v, brief = judge(t), short(t)
+                if v != "residue" and not brief:
+                    continue
+                title, said = None, t
+                if v != "residue":
+                    first, differs = titles(t)
+                    if differs:  # a title that says nothing of its body is no part of the message
+                        title, said = first, t.strip()[len(first) :]
+                words = sorted(set(_WORDS.findall(said.lower()))) if brief else []
+                rows.append((d, h or "", v, words, skeleton(said) if v != "residue" else None, title))
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "host", "verdict", "words", "skeleton", "title"])
+
+    judged = docs.select(key, text, host).mapInPandas(run, f"{key} {kind}, host string, verdict string, words array<string>, skeleton string, title string")
+    judged = cut(judged.withColumn("skeleton", F.xxhash64("skeleton")))
+    found = judged.where("verdict = 'residue'").select(key, F.lit("detector").alias("signal"))
+    shared = docs.sparkSession.sparkContext.broadcast(weights(judged.select(key, "verdict", "words").distinct()))
+
+    @F.pandas_udf("double")
+    def message(words: pd.Series) -> pd.Series:
+        w = shared.value
+        return pd.Series([float(sum(w.get(x, UNSEEN) for x in ws)) for ws in words], dtype="float64")
+
+    said = cut(judged.where("verdict != 'residue'").withColumn("like", message("words")).where("verdict = 'weak' or like > 0").select(key, "host", "skeleton", "title"))
+    # returned on several hosts, or on one under titles that its body doesn't answer
+    common = said.groupBy("skeleton").agg(F.countDistinct(key).alias("n"), F.countDistinct("host").alias("hosts"), F.countDistinct("title").alias("titles"))
+    common = common.where((F.col("n") >= REPEATS) & ((F.col("hosts") >= 2) | (F.col("titles") >= REPEATS))).select("skeleton", F.when(F.col("hosts") >= 2, "hosts").otherwise("titles").alias("signal"))
+    return found.unionByName(said.join(small(common), "skeleton").select(key, "signal"))
 
 
 def bodies(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,7 +207,12 @@ def bodies(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Rows whose text has residue in place of its content."""
-    return verdicts(bodies(spark, sf)).distinct()
+    return verdicts(bodies(spark, sf)).select("doc_id").distinct()
+
+
+def p4_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents each signal decides."""
+    return verdicts(bodies(spark, sf)).groupBy("signal").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
 def p4_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,4 +221,4 @@ def p4_clean(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(p4_found(spark, sf), "doc_id", "left_anti").groupBy("platform").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_clean": p4_clean}
+QUERIES = {"p4_found": p4_found, "p4_clean": p4_clean, "p4_signals": p4_signals}
