@@ -7,13 +7,13 @@ from pyspark.sql.window import Window as W
 
 from .. import schemas as S
 from ..functions import dates, text
-from ..session import small, squash
+from ..session import cut, settle, small, squash
 
 
 def dimension(dim_actor: DataFrame) -> DataFrame:
     """Actor dimension with its comparison key; one row per key (the least actor on a clash)."""
-    d = dim_actor.select(squash(F.col("actor")).alias("actor_key"), "actor", F.col("type").alias("actor_type"), "positioning", "pair", "target")
-    return d.dropDuplicates(["actor_key"])
+    d = dim_actor.select(squash(F.col("actor")).alias("actor_key"), F.struct("actor", F.col("type").alias("actor_type"), "positioning", "pair", "target").alias("d"))
+    return d.groupBy("actor_key").agg(F.min("d").alias("d")).select("actor_key", "d.*")
 
 
 def enrich(raw: DataFrame, dim_actor: DataFrame) -> DataFrame:
@@ -33,17 +33,31 @@ def enrich(raw: DataFrame, dim_actor: DataFrame) -> DataFrame:
 
 
 def one_per_id(docs: DataFrame) -> DataFrame:
-    """Repeated ids, equal but for the time of scraping, as one row."""
-    return docs.drop("scraped_at").dropDuplicates(["doc_id"])
+    """One row per id: of repeated ids the first scraped, of equal times the least row.
+
+    Ids and times are counted in a slim aggregation; only rows of ids that tie for the first time are ever shuffled
+    whole.  Rows without an id are one."""
+    times = docs.groupBy("doc_id", "scraped_at").count().groupBy("doc_id")
+    again = times.agg(F.sum("count").alias("n"), F.min(F.struct("scraped_at", "count")).alias("m")).where("n > 1 or doc_id is null")
+    again = cut(again.select("doc_id", F.col("m.scraped_at").alias("_first"), (F.col("m.count") > 1).alias("_tied")))
+    ties, nulls = again.agg(F.count_if("_tied"), F.count_if(F.col("doc_id").isNull())).first()
+    out = settle(docs, "doc_id", again.where("doc_id is not null"), F.col("scraped_at").eqNullSafe(F.col("_first")) & ~F.col("_tied"))
+    row = F.min(F.struct("scraped_at", *[c for c in docs.columns if c not in ("doc_id", "scraped_at")])).alias("_row")
+    least = lambda rows: rows.groupBy("doc_id").agg(row).select("doc_id", "_row.*")
+    if ties:
+        out = out.unionByName(least(docs.join(small(again.where("_tied").select("doc_id")), "doc_id", "left_semi")))
+    if nulls:
+        out = out.where("doc_id is not null").unionByName(least(docs.where("doc_id is null")))
+    return out.drop("scraped_at")
 
 
 def deduplicate(docs: DataFrame, prefix: int = 200) -> DataFrame:
     """Keeps the least doc_id of each (actor, date, first characters of the text).
 
-    The texts stay where they are: only a digest of the key is shuffled, with map-side combining."""
-    key = F.md5(F.concat_ws("\u0001", "actor", "date", F.substring("text", 1, prefix)))
-    first = docs.groupBy(key.alias("k")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return docs.join(first, "doc_id", "left_semi")
+    A slim pass finds the digests that several ids have; the texts stay where they are."""
+    rows = docs.withColumn("_k", F.md5(F.concat_ws("\u0001", "actor", "date", F.substring("text", 1, prefix))))
+    twice = rows.groupBy("_k").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_k", "_least")
+    return settle(rows, "_k", cut(twice), F.col("doc_id") == F.col("_least")).drop("_k")
 
 
 def first_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -78,25 +92,21 @@ def coverage_gaps(docs: DataFrame, dim_actor: DataFrame, least: int) -> DataFram
 
 
 def balance_rules(docs: DataFrame, rules: dict = S.BALANCE) -> DataFrame:
-    """(rule, value, threshold, passed) of the corpus audit: one cube feeds all rules."""
-    cell = docs.groupBy("actor", "actor_type", "context").count().persist()
-    total = cell.agg(F.sum("count").alias("t"))
-    top = cell.groupBy("actor").agg(F.sum("count").alias("n")).agg(F.max("n").alias("v"))
-    low = cell.groupBy("context").agg(F.sum("count").alias("n")).agg(F.min("n").alias("v"))
-    rows = [
-        total.select(F.lit("min_total_docs").alias("rule"), F.col("t").cast("double").alias("value"), F.lit(float(rules["min_total_docs"])).alias("threshold"), (F.col("t") >= rules["min_total_docs"]).alias("passed")),
-    ]
-    for name, part, limit, above in (("max_actor_share", top, rules["max_actor_share"], False), ("min_context_share", low, rules["min_context_share"], True)):
-        share = F.round(F.col("v") / F.col("t"), 6)
-        rows.append(part.join(F.broadcast(total)).select(F.lit(name), share, F.lit(limit), (share >= limit) if above else (share <= limit)))
-    kinds = cell.groupBy("actor_type").agg(F.sum("count").alias("v")).join(F.broadcast(total))
-    for kind, want in rules["type_split"].items():
-        share = F.round(F.coalesce(F.max(F.when(F.col("actor_type") == kind, F.col("v") / F.col("t"))), F.lit(0.0)), 6)
-        rows.append(kinds.agg(share.alias("v")).select(F.lit(f"type_{kind}"), "v", F.lit(want), F.abs(F.col("v") - want) <= rules["type_tolerance"]))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out
+    """(rule, value, threshold, passed) of the corpus audit: one aggregation by cell, one over its few rows."""
+    cell = docs.groupBy("actor", "actor_type", "context").count()
+    sets = cell.groupingSets([["actor"], ["context"], ["actor_type"], []], "actor", "context", "actor_type").agg(F.grouping_id().alias("g"), F.sum("count").alias("n"))
+    of = lambda g: F.col("g") == g  # noqa: E731  # bits: actor, context, actor_type are aggregated away
+    kinds = list(rules["type_split"])
+    one = sets.agg(
+        F.coalesce(F.max(F.when(of(7), F.col("n"))), F.lit(0)).cast("double").alias("t"), F.max(F.when(of(3), F.col("n"))).alias("top"), F.min(F.when(of(5), F.col("n"))).alias("low"),
+        *[F.coalesce(F.max(F.when(of(6) & (F.col("actor_type") == k), F.col("n"))), F.lit(0)).alias(f"k_{k}") for k in kinds],
+    )
+    share = lambda c: F.round(F.try_divide(F.col(c), F.col("t")), 6)
+    row = lambda rule, value, limit, passed: F.struct(F.lit(rule).alias("rule"), value.alias("value"), F.lit(float(limit)).alias("threshold"), passed.alias("passed"))
+    least, most, floor, tolerance = (rules[k] for k in ("min_total_docs", "max_actor_share", "min_context_share", "type_tolerance"))
+    rows = [row("min_total_docs", F.col("t"), least, F.col("t") >= least), row("max_actor_share", share("top"), most, share("top") <= most), row("min_context_share", share("low"), floor, share("low") >= floor)]
+    rows += [row(f"type_{k}", share(f"k_{k}"), w, F.abs(share(f"k_{k}") - w) <= tolerance) for k, w in rules["type_split"].items()]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def target_progress(docs: DataFrame, dim_actor: DataFrame) -> DataFrame:

@@ -29,8 +29,8 @@ def query(name: str, sql: str | None = None):
 
 
 # -- labels ----------------------------------------------------------------------------------------------------------
-def labeled(s, sf) -> DataFrame:
-    return labeling.by_lexicon(pool(s, sf))
+def labeled(s, sf, docs: DataFrame | None = None) -> DataFrame:
+    return labeling.by_lexicon(pool(s, sf, docs))
 
 
 def both(s, sf) -> DataFrame:
@@ -105,8 +105,9 @@ scored AS (SELECT e.doc_id, e.actor, e.actor_type, e.positioning, e.context, e.p
 
 
 def scored(s, sf) -> DataFrame:
-    meta = enriched(s, sf).select("doc_id", "actor", "actor_type", "positioning", "context", "platform", "post_chatgpt")
-    return rollup.doc_scores(meta, labeled(s, sf))
+    docs = enriched(s, sf)
+    meta = docs.select("doc_id", "actor", "actor_type", "positioning", "context", "platform", "post_chatgpt")
+    return rollup.doc_scores(meta, labeled(s, sf, docs))
 
 
 @query("doc_scores", f"WITH {DOC} SELECT doc_id, context, n_sentences, {', '.join(SCORES)}, none_pct FROM scored")

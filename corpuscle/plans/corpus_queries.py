@@ -24,12 +24,13 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     return C.deduplicate(enriched(spark, sf))
 
 
-def all_sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return sentences.explode(enriched(spark, sf), ["doc_id", "actor", "actor_type", "context", "date", "post_chatgpt"])
+def all_sentences(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
+    docs = enriched(spark, sf) if docs is None else docs
+    return sentences.explode(docs, ["doc_id", "actor", "actor_type", "context", "date", "post_chatgpt"])
 
 
-def pool(spark: SparkSession, sf: str) -> DataFrame:
-    return sentences.clean_pool(all_sentences(spark, sf))
+def pool(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
+    return sentences.clean_pool(all_sentences(spark, sf, docs))
 
 
 def sq(c: str) -> str:

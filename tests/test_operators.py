@@ -52,6 +52,30 @@ def test_enrich_and_dedup(spark, dim):
     assert {r.rule: r.passed for r in corpus.balance_rules(e).collect()}["min_total_docs"] is False
 
 
+def test_one_row_per_id(spark, monkeypatch):
+    from corpuscle import session
+
+    rows = [(f"d{i % 40}", i, f"text {i % 40}", None) for i in range(90)]
+    rows += [("tie", 1, "b", "x"), ("tie", 1, "a", "x"), ("tie", 0, "z", None), ("same", 3, "b", None), ("same", 3, "b", None), ("same", 3, "a", None), (None, 2, "n", None), (None, 1, "m", None), ("late", None, "q", None), ("late", 4, "r", None)]
+    df = spark.createDataFrame(rows, "doc_id string, scraped_at int, text string, actor string")
+    want = {(f"d{i}", f"text {i}", None) for i in range(40)} | {("tie", "z", None), ("same", "a", None), (None, "m", None), ("late", "q", None)}
+    for most in (100_000, 0):  # beyond the bound only rows that may be repeated are shuffled
+        monkeypatch.setattr(session, "MAX_BROADCAST_ROWS", most)
+        out = corpus.one_per_id(df)
+        assert [c for c in out.columns] == ["doc_id", "text", "actor"]
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+        docs = spark.createDataFrame([("b", "x", "1", "same"), ("a", "x", "1", "same"), ("c", "x", "2", "same"), ("d", None, "1", None), ("e", None, "1", None)], "doc_id string, actor string, date string, text string")
+        assert {r.doc_id for r in corpus.deduplicate(docs).collect()} == {"a", "c", "d"}
+    assert corpus.one_per_id(df.limit(0)).count() == 0
+
+
+def test_texts_do_not_move(spark):
+    rows = [(f"d{i % 30}", i, "some text " * 50, "x", str(i), ) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id string, scraped_at int, text string, actor string, date string")
+    plan = corpus.deduplicate(corpus.one_per_id(df))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+
+
 def test_squash(spark):
     df = spark.createDataFrame([("\tA\xa0 b C ",), (None,)], "v string")
     assert [r[0] for r in df.select(squash(F.col("v"))).collect()] == ["a b c", None]
