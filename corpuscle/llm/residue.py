@@ -15,7 +15,7 @@ furniture first (``boilerplate``, with the line statistics learned there) unless
 
 Defined results: null and blank texts are no case (they have nothing in place of content); a text that mentions
 such things in sentences of its own, or has a notice at its edge, is no case unless the corpus shows it to be a response
-returned for other records too; repeated rows are judged alike and count once; rows without a host count as one host.
+returned for other records too; repeated rows are judged alike and count as one return; rows without a host count as one host.
 """
 from __future__ import annotations
 
@@ -175,7 +175,7 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "body", host: str
     judged = docs.select(key, text, host).mapInPandas(run, f"{key} {kind}, host string, verdict string, words array<string>, skeleton string, title string")
     judged = cut(judged.withColumn("skeleton", F.xxhash64("skeleton")))
     found = judged.where("verdict = 'residue'").select(key, F.lit("detector").alias("signal"))
-    shared = docs.sparkSession.sparkContext.broadcast(weights(judged.select(key, "verdict", "words").distinct()))
+    shared = docs.sparkSession.sparkContext.broadcast(weights(judged))
 
     @F.pandas_udf("double")
     def message(words: pd.Series) -> pd.Series:
