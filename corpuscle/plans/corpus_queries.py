@@ -8,7 +8,7 @@ from .. import schemas as S
 from ..functions import dates, text
 from ..operators import corpus as C
 from ..operators import sampling, sentences
-from ..session import small, squash, table
+from ..session import cut, small, squash, table
 
 CELL = 20  # rows wanted per actor and context in these tables
 SEED = 11
@@ -289,49 +289,93 @@ def length_gates(s, sf):
     return enriched(s, sf).groupBy("platform").agg(n(F.col("word_count") >= 50).alias("w50"), n(F.col("word_count") >= 200).alias("w200"), n(F.col("word_count") >= 500).alias("w500"), n(F.length("text") >= 300).alias("c300"))
 
 
-@query("actor_mentions", f"""WITH {ENRICHED}, k AS (SELECT actor AS named, lower(actor) AS term FROM dim_actor)
-SELECT k.named, count(*) AS n_docs FROM enriched JOIN k ON contains(lower(text), k.term) WHERE k.named <> enriched.actor GROUP BY 1""")
+@query("actor_mentions", f"""WITH {ENRICHED}, k AS (SELECT DISTINCT actor AS named, unnest(string_split(lower(actor), ' ')) AS term FROM dim_actor), w AS (SELECT named, term FROM k WHERE length(term) >= 5)
+SELECT w.named, w.term, count(*) AS n_docs, count(*) FILTER (w.named = enriched.actor) AS own FROM enriched JOIN w ON contains(lower(text), w.term) GROUP BY ALL""")
 def actor_mentions(s, sf):
-    k = table(s, sf, "dim_actor").select(F.col("actor").alias("named"), F.lower("actor").alias("term"))
-    hits = enriched(s, sf).join(small(k), F.expr("contains(lower(text), term)") & (F.col("named") != F.col("actor")))
-    return hits.groupBy("named").agg(F.count(F.lit(1)).alias("n_docs"))
+    """Documents in which a word of an actor's name occurs."""
+    k = table(s, sf, "dim_actor").select(F.col("actor").alias("named"), F.explode(F.split(F.lower("actor"), " ")).alias("term")).where(F.length("term") >= 5).distinct()
+    hits = enriched(s, sf).join(small(k), F.expr("contains(lower(text), term)"))
+    return hits.groupBy("named", "term").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("named") == F.col("actor")).alias("own"))
 
 
 # -- samples ---------------------------------------------------------------------------------------------------------
+ACTORS, GOLD_ROWS, SHORT, SHORT_SHARE = 5, 100, 10, 0.2
+
+
+def _draw_sql(name: str, source: str, tier: str, share: float, quota: str) -> str:
+    """CTE ``name``: the sample that ``sampling.quota`` draws from ``source``."""
+    key = f"md5(sentence_id || '|{SEED}')"
+    return f"""{name}_k AS (SELECT sentence_id, doc_id, actor, context, sentence_text, word_count, CAST({tier} AS INTEGER) AS tier, {key} AS h, {quota} AS n FROM {source}),
+  {name}_r AS (SELECT *, row_number() OVER (PARTITION BY context, tier ORDER BY h, sentence_id) AS tr, row_number() OVER (PARTITION BY context, actor ORDER BY h, sentence_id) = 1 AS lead FROM {name}_k),
+  {name}_d AS (SELECT *, row_number() OVER (PARTITION BY context, lead ORDER BY h, sentence_id) AS dr FROM {name}_r),
+  {name}_p AS (SELECT *, CASE WHEN lead AND dr <= {ACTORS} THEN 0 WHEN tier = 1 AND tr <= greatest(ceil(n * {share}), 1) THEN 1 WHEN tier = 0 THEN 2 ELSE 3 END AS pref FROM {name}_d),
+  {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY pref, h, sentence_id) AS rank FROM {name}_p) WHERE rank <= n)"""
+
+
 _QUOTA = "CASE context " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in STRATA.items()) + " END"
+OVERLAP = f"{POOL}, {_draw_sql('overlap', 'pool', 'likely_none', 0.15, _QUOTA)}"
+GOLD = f"""{POOL}, {_draw_sql('gold_a', 'pool', f'word_count < {SHORT}', SHORT_SHARE, str(GOLD_ROWS))},
+  rest AS (SELECT * FROM pool ANTI JOIN gold_a USING (sentence_id)), {_draw_sql('gold_b', 'rest', f'word_count < {SHORT}', SHORT_SHARE, str(GOLD_ROWS))}"""
+_KEPT = ["sentence_id", "doc_id", "actor", "context", "word_count", "likely_none", "sentence_text"]
+
+
+def overlap(s, sf) -> DataFrame:
+    """Sentences that both annotators read."""
+    return sampling.quota(pool(s, sf).select(*_KEPT), "context", STRATA, "likely_none", 0.15, SEED, ACTORS)
+
 
+def gold(s, sf) -> tuple[DataFrame, DataFrame]:
+    """Two disjoint gold sets; the ids of the first, at most ``GOLD_ROWS`` a context, are kept once."""
+    rows = pool(s, sf).select(*_KEPT).withColumn("short", F.col("word_count") < SHORT)
+    quotas = dict.fromkeys(S.CONTEXTS, GOLD_ROWS)
+    a = cut(sampling.quota(rows, "context", quotas, "short", SHORT_SHARE, SEED, ACTORS))
+    return a, sampling.quota(rows, "context", quotas, "short", SHORT_SHARE, SEED, ACTORS, exclude=a)
 
-@query("overlap_sample", f"""WITH {POOL}, k AS (SELECT sentence_id, context, CAST(likely_none AS INTEGER) AS tier, md5(sentence_id || '|{SEED}') AS h, {_QUOTA} AS n FROM pool),
-  r AS (SELECT *, row_number() OVER (PARTITION BY context, tier ORDER BY h, sentence_id) AS tr FROM k),
-  p AS (SELECT *, CASE WHEN tier = 1 AND tr <= greatest(ceil(n * 0.15), 1) THEN 0 WHEN tier = 0 THEN 1 ELSE 2 END AS pref FROM r),
-  f AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY pref, h, sentence_id) AS rank FROM p)
-SELECT sentence_id, context, rank FROM f WHERE rank <= n""")
+
+def _ranked(sample: DataFrame) -> DataFrame:
+    return sample.select("sentence_id", "context", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("overlap_sample", f"WITH {OVERLAP} SELECT sentence_id, context, rank FROM overlap")
 def overlap_sample(s, sf):
-    return sampling.quota(pool(s, sf).select("sentence_id", "context", "likely_none"), "context", STRATA, "likely_none", 0.15, SEED).select("sentence_id", "context", F.col("rank").cast("bigint").alias("rank"))
+    return _ranked(overlap(s, sf))
 
 
-_GOLD = f"""WITH {POOL}, f AS (SELECT sentence_id, context, row_number() OVER (PARTITION BY context ORDER BY md5(sentence_id || '|{SEED}'), sentence_id) AS rank FROM pool)"""
+@query("overlap_actors", f"WITH {OVERLAP} SELECT context, count(DISTINCT actor) AS n_actors, count(*) FILTER (likely_none) AS n_likely_none, count(*) AS n FROM overlap JOIN (SELECT sentence_id, likely_none FROM pool) USING (sentence_id) GROUP BY 1")
+def overlap_actors(s, sf):
+    return overlap(s, sf).groupBy("context").agg(F.countDistinct("actor").alias("n_actors"), F.count_if("likely_none").alias("n_likely_none"), F.count(F.lit(1)).alias("n"))
 
 
-def _gold(s, sf):
-    return sampling.disjoint_sets(pool(s, sf).select("sentence_id", "context"), "context", 100, ["A", "B"], SEED).select("sentence_id", "context", "annotator", F.col("rank").cast("bigint").alias("rank"))
+@query("overlap_shuffled", f"WITH {OVERLAP} SELECT sentence_id, row_number() OVER (ORDER BY md5(sentence_id || '|{SEED + 1}'), sentence_id) AS position FROM overlap")
+def overlap_shuffled(s, sf):
+    return sampling.shuffled(overlap(s, sf), SEED + 1).select("sentence_id", F.col("position").cast("bigint").alias("position"))
 
 
-@query("gold_a", _GOLD + "SELECT sentence_id, context, rank FROM f WHERE rank <= 100")
+@query("gold_a", f"WITH {GOLD} SELECT sentence_id, context, rank FROM gold_a")
 def gold_a(s, sf):
-    return _gold(s, sf).where("annotator = 'A'").drop("annotator")
+    return _ranked(gold(s, sf)[0])
 
 
-@query("gold_b", _GOLD + "SELECT sentence_id, context, rank FROM f WHERE rank BETWEEN 101 AND 200")
+@query("gold_b", f"WITH {GOLD} SELECT sentence_id, context, rank FROM gold_b")
 def gold_b(s, sf):
-    return _gold(s, sf).where("annotator = 'B'").drop("annotator")
+    return _ranked(gold(s, sf)[1])
+
 
+@query("gold_short", f"WITH {GOLD} SELECT context, count(DISTINCT actor) AS n_actors, count(*) FILTER (word_count < {SHORT}) AS n_short, count(*) AS n FROM gold_a GROUP BY 1")
+def gold_short(s, sf):
+    return gold(s, sf)[0].groupBy("context").agg(F.countDistinct("actor").alias("n_actors"), F.count_if("short").alias("n_short"), F.count(F.lit(1)).alias("n"))
 
-@query("gold_disjoint", "SELECT CAST(0 AS BIGINT) AS n_shared")
+
+@query("gold_disjoint", f"WITH {GOLD} SELECT count(*) AS n_shared FROM gold_a SEMI JOIN gold_b USING (sentence_id)")
 def gold_disjoint(s, sf):
-    g = _gold(s, sf)
-    both = g.where("annotator = 'A'").select("sentence_id").intersect(g.where("annotator = 'B'").select("sentence_id"))
-    return both.agg(F.count(F.lit(1)).alias("n_shared"))
+    a, b = (x.select("sentence_id") for x in gold(s, sf))
+    return a.intersect(b).agg(F.count(F.lit(1)).alias("n_shared"))
+
+
+@query("two_sets", f"""WITH {POOL}, f AS (SELECT sentence_id, context, row_number() OVER (PARTITION BY context ORDER BY md5(sentence_id || '|{SEED}'), sentence_id) AS rank FROM pool)
+SELECT sentence_id, context, CASE WHEN rank <= 100 THEN 'A' ELSE 'B' END AS annotator FROM f WHERE rank <= 200""")
+def two_sets(s, sf):
+    return sampling.disjoint_sets(pool(s, sf).select("sentence_id", "context"), "context", 100, ["A", "B"], SEED).select("sentence_id", "context", "annotator")
 
 
 @query("diverse_start", f"WITH {POOL} SELECT context, actor, arg_min(sentence_id, md5(sentence_id || '|{SEED}')) AS sentence_id FROM pool GROUP BY ALL")
