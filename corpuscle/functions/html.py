@@ -1,10 +1,11 @@
 """Pages, feeds and indexes: links, titles, dates, main text.
 
-Expressions are built-in regular-expression functions; ``main_text`` is the one Arrow function, since nesting needs
-a parser.
+Expressions are built-in regular-expression functions; only what depends on nesting needs a parser and is an Arrow
+function.
 """
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,10 +16,11 @@ from pyspark.sql import types as T
 from .dates import first_known, path_day
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-CHROME = frozenset("script style nav header footer aside form noscript iframe svg button".split())
-#: Candidates for the main element, best first.
-MAIN = ("article", "role=main", "main", "class", "body")
-CONTENT_CLASS = ("content", "post", "entry", "article", "body", "story", "transcript")
+# Elements that are no content, words of content classes, path segments and endings that are no posts.
+CHROME = frozenset("nav header footer script style aside noscript iframe form".split())
+CONTENT_CLASS = r"\b(post|entry|content|article|body|text)\b"
+NO_POST = r"(?i)/(tag|category|author|feed|rss|page|wp-content|cdn|search|about|contact|signin|login|register|subscribe|privacy|terms|archive)(/|$)"
+NO_PAGE = r"(?i)\.(atom|rss|xml|pdf|zip|png|jpg|jpeg|gif|css|js)$"
 
 
 def title(html) -> Column:
@@ -67,26 +69,34 @@ def page_date(html, url=None, fallback=None) -> Column:
     return first_known(*chain)
 
 
-class _Main(HTMLParser):
-    """Text of the best candidate element, chrome left out."""
+def _has_class(pattern: str):
+    return lambda tag, a: tag == "div" and bool(re.search(pattern, a.get("class") or "", re.I))
 
-    def __init__(self) -> None:
+
+#: Tests of (tag, attributes) for the main element, best first; of each test the first element of the page counts.
+MAIN = (lambda tag, a: tag == "article", lambda tag, a: a.get("role") == "main", lambda tag, a: tag == "main", _has_class(CONTENT_CLASS), lambda tag, a: tag == "body")
+TRANSCRIPT = (lambda tag, a: a.get("data-purpose") == "transcript-body", _has_class("transcript"))
+
+
+class _First(HTMLParser):
+    """Text of the first element that passes the best of several tests, chrome left out."""
+
+    def __init__(self, tests) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int]] = []
-        self.skip = 0
-        self.text: dict[int, list[str]] = {k: [] for k in range(len(MAIN) + 1)}
+        self.tests, self.stack, self.skip = tests, [], 0
+        self.found: dict[int, list[str]] = {}
+        self.whole: list[str] = []
 
     def handle_starttag(self, tag, attrs):
         if tag in VOID:
             return
-        a = dict(attrs)
-        rank = {"article": 0, "main": 2, "body": 4}.get(tag, -1)
-        if a.get("role") == "main":
-            rank = 1
-        elif tag == "div" and any(c in (a.get("class") or "").lower() for c in CONTENT_CLASS):
-            rank = 3
-        self.stack.append((tag, rank))
+        a, ranks = dict(attrs), []
         self.skip += tag in CHROME
+        if not self.skip:
+            ranks = [k for k, test in enumerate(self.tests) if k not in self.found and test(tag, a)]
+            for k in ranks:
+                self.found[k] = []
+        self.stack.append((tag, ranks))
 
     def handle_endtag(self, tag):
         for i in range(len(self.stack) - 1, -1, -1):
@@ -96,31 +106,87 @@ class _Main(HTMLParser):
                 break
 
     def handle_data(self, data):
-        if self.skip or not data.strip():
+        part = data.strip()
+        if self.skip or not part:
             return
-        self.text[len(MAIN)].append(data.strip())
-        for rank in {r for _, r in self.stack if r >= 0}:
-            self.text[rank].append(data.strip())
+        self.whole.append(part)
+        for _, ranks in self.stack:
+            for k in ranks:
+                self.found[k].append(part)
 
-    def best(self) -> str:
-        for k in range(len(MAIN) + 1):
-            if self.text[k]:
-                return " ".join(" ".join(self.text[k]).split())
-        return ""
+    def text(self) -> str:
+        parts = next((self.found[k] for k in sorted(self.found)), self.whole)
+        return re.sub(" {2,}", " ", " ".join(parts)).strip()
 
 
-def extract_main(html: str | None) -> str | None:
+def extract(html: str | None, tests=MAIN) -> str | None:
     if html is None:
         return None
-    p = _Main()
+    p = _First(tests)
     p.feed(html)
     p.close()
-    return p.best()
+    return p.text()
 
 
 @F.pandas_udf(T.StringType())
 def main_text(html: pd.Series) -> pd.Series:
-    return html.map(extract_main)
+    return html.map(extract)
+
+
+@F.pandas_udf(T.StringType())
+def transcript_text(html: pd.Series) -> pd.Series:
+    """Text of the transcript container, all blanks collapsed; of the main element where there is none."""
+    return html.map(lambda x: None if x is None else " ".join(extract(x, (*TRANSCRIPT, *MAIN)).split()))
+
+
+class _Links(HTMLParser):
+    """Links with the text of the element around them."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.stack: list[tuple[str, list[str], list[str]]] = []
+        self.out: list[tuple[str, list[str]]] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in VOID:
+            return
+        href = dict(attrs).get("href")
+        if tag == "a" and href and self.stack:
+            self.out.append((href, self.stack[-1][1]))
+        self.stack.append((tag, [], []))
+
+    def handle_endtag(self, tag):
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == tag:
+                del self.stack[i:]
+                break
+
+    def handle_data(self, data):
+        for _, text, _ in self.stack:
+            text.append(data.strip())
+
+
+def _near(html: str | None) -> list[tuple[str, str]]:
+    p = _Links()
+    p.feed(html or "")
+    p.close()
+    return [(href, " ".join(" ".join(text).split())) for href, text in p.out]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("near", T.StringType())])))
+def links_with_text(html: pd.Series) -> pd.Series:
+    return html.map(lambda x: [{"href": h, "near": t} for h, t in _near(x)])
+
+
+def is_post(link, base) -> Column:
+    """Whether a link of the listing page ``base`` looks like a post of the same site."""
+    domain = F.regexp_extract(base, r"^(?:https?://)?([^/]+)", 1)
+    own = F.regexp_replace(F.regexp_replace(base, r"/+$", ""), "^http://", "https://")
+    return F.contains(link, domain) & (link != own) & ~link.rlike(NO_POST) & ~link.rlike(NO_PAGE)
+
+
+def snapshot_url(base: str, timestamp, original) -> Column:
+    return F.concat(F.lit(base.rstrip("/") + "/"), timestamp, F.lit("/"), original)
 
 
 def sitemap(xml, fragment: str) -> Column:
@@ -128,12 +194,6 @@ def sitemap(xml, fragment: str) -> Column:
     return F.filter(F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<]+?)\s*</loc>"), 1), lambda u: F.contains(u, F.lit(fragment)))
 
 
-def archive_index(body) -> Column:
-    """Rows of an archive index (JSON array of arrays, header first) with status 200, one per key."""
-    rows = F.from_json(body, "array<array<string>>")
-    return F.filter(F.slice(rows, 2, 1_000_000), lambda r: (F.size(r) >= 2) & F.coalesce(F.try_element_at(r, F.lit(3)) == "200", F.lit(True)))
-
-
 def paged_total(body) -> Column:
     """``total`` of a paged answer, an integer or an object with ``value``."""
     return F.coalesce(F.expr(f"try_cast(get_json_object({body}, '$.total') AS bigint)"), F.expr(f"try_cast(get_json_object({body}, '$.total.value') AS bigint)"))

@@ -13,6 +13,26 @@ def stack(wide: DataFrame, labels: dict[str, tuple[str, str]], keep: list[str])
     return wide.select(*keep, F.expr(f"stack({len(labels)}, {parts}) AS (label, a, b)"))
 
 
+def join_readers(a: DataFrame, b: DataFrame, labels: list[str], id_column: str = "sentence_id", suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
+    """Two readers' tables joined on the id; label columns, and others that both have, get their reader's suffix."""
+    both = {c for c in a.columns if c in b.columns and c != id_column} | set(labels)
+    left, right = (df.select(id_column, *[F.col(c).alias(c + x if c in both else c) for c in df.columns if c != id_column]) for df, x in ((a, suffixes[0]), (b, suffixes[1])))
+    return left.join(right, id_column)
+
+
+def overlap(a: DataFrame, b: DataFrame, id_column: str = "sentence_id") -> DataFrame:
+    """Ids that both readers have, and those that only one has."""
+    one = lambda df, name: df.select(id_column).distinct().withColumn(name, F.lit(1))
+    j = one(a, "_a").join(one(b, "_b"), id_column, "full")
+    return j.agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("shared"), F.count_if(F.col("_b").isNull()).alias("only_a"), F.count_if(F.col("_a").isNull()).alias("only_b"))
+
+
+def with_predictions(gold: DataFrame, predictions: DataFrame, id_column: str = "sentence_id", default: tuple[str, ...] = ("None",)) -> DataFrame:
+    """Gold rows with their predicted labels; those without a prediction have the default."""
+    p = predictions.select(id_column, F.col("labels").alias("predicted"))
+    return gold.join(p, id_column, "left").withColumn("predicted", F.coalesce("predicted", F.array(*map(F.lit, default))))
+
+
 def kappa(long: DataFrame) -> DataFrame:
     """Per label: n, per cent agreement, Cohen's kappa (null where chance agreement is one)."""
     n = F.count(F.lit(1))

@@ -4,6 +4,7 @@ from __future__ import annotations
 import json
 import re
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -106,9 +107,23 @@ def label(sentences: DataFrame, factory: Callable[[], Labeler], id_column: str =
 
 
 def dead_letters(labeled: DataFrame, id_column: str = "sentence_id") -> DataFrame:
-    """Errors with the number of rows and the first three ids."""
-    g = labeled.where("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(id_column)).alias("ids"))
-    return g.select("error", "n", F.slice("ids", 1, 3).alias("first_ids"))
+    """Errors with the number of rows and the three least ids; each task keeps three, so no error is ever gathered."""
+    kind = dict(labeled.dtypes)[id_column]
+
+    def least(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, ids = Counter(), {}
+        for pdf in pdfs:
+            for error, part in pdf.groupby("error")[id_column]:
+                n[error] += len(part)
+                ids[error] = sorted({*ids.get(error, ()), *part})[:3]
+        if n:
+            yield pd.DataFrame({"error": list(n), "n": list(n.values()), "ids": [ids[e] for e in n]})
+
+    parts = labeled.where("error is not null").select("error", id_column).mapInPandas(least, f"error string, n bigint, ids array<{kind}>")
+    three = lambda c: F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), 1, 3)
+    for by in (["error", F.pmod(F.hash("ids"), F.lit(256)).alias("_salt")], ["error"]):
+        parts = parts.groupBy(*by).agg(F.sum("n").alias("n"), three("ids").alias("ids")).drop("_salt")
+    return parts.select("error", "n", F.col("ids").alias("first_ids"))
 
 
 def by_lexicon(sentences: DataFrame, text: str = "sentence_text", lexicon: dict[str, str] = LEXICON, suffix: str = "") -> DataFrame:

@@ -156,3 +156,11 @@ def welch(groups: DataFrame, value: str, flag: str) -> DataFrame:
     t = F.when(ok, (F.col("m1") - F.col("m0")) / F.sqrt(e1 + e0))
     dof = F.when(ok, (e1 + e0) ** 2 / (e1**2 / (F.col("n1") - 1) + e0**2 / (F.col("n0") - 1)))
     return s.select("n1", "n0", F.round("m1", 6).alias("mean_1"), F.round("m0", 6).alias("mean_0"), F.round(t, 6).alias("t"), F.round(dof, 6).alias("df"))
+
+
+def welch_verdict(test: DataFrame, gate: float = 0.05) -> DataFrame:
+    """The one row of ``welch`` with its two-sided p and whether group 1 is significantly above group 0."""
+    r = test.first()
+    p = None if r is None or r["t"] is None else round(t_two_sided(r["t"], r["df"]), 6)
+    supported = p is not None and p < gate and r["mean_1"] > r["mean_0"]
+    return test.withColumn("p", F.lit(p).cast("double")).withColumn("supported", F.lit(supported))

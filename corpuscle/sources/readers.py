@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas as S
-from ..functions import html
+from ..functions import dates, html
+from ..functions.text import to_bit_half
 
 
 def raw_documents(spark: SparkSession, *paths: str) -> DataFrame:
@@ -106,26 +107,54 @@ def pdf_text(data: bytes) -> str:
     return " ".join("".join(out).split())
 
 
+@F.pandas_udf(T.StringType())
+def pdf_column(content: pd.Series) -> pd.Series:
+    """Text of PDF bytes; null where there is none."""
+    return content.map(lambda b: None if b is None else pdf_text(bytes(b)) or None)
+
+
+def _long_enough(c, least: int):
+    return F.coalesce(F.size(F.split(c, " ")) >= least, F.lit(False))
+
+
 def pdfs(spark: SparkSession, path: str, manifest: DataFrame, least_words: int = 200) -> DataFrame:
     """PDF texts joined with their manifest (by file name), those with too few words left out."""
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split(F.col("path"), "/"), -1).alias("filename"), pdf_column("content").alias("text"))
+    return files.join(manifest, "filename").where(_long_enough("text", least_words))
 
-    @F.pandas_udf(T.StringType())
-    def text(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: pdf_text(bytes(b)))
 
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split(F.col("path"), "/"), -1).alias("filename"), text("content").alias("text"))
-    return files.join(manifest, "filename").where(F.size(F.split("text", " ")) >= least_words)
+def fetched_pdfs(urls: DataFrame, get: Callable[[str], tuple[int, bytes]], least_words: int = 500) -> DataFrame:
+    """(url, text) of PDFs behind addresses, those with too few words left out."""
+    return fetch(urls, get, kind="binary").select("url", pdf_column("html").alias("text")).where(_long_enough("text", least_words))
+
+
+def annotations(spark: SparkSession, path: str) -> DataFrame:
+    """Annotation workbooks with 0/1 labels: cells count from 0.5 on, anything else is 0."""
+    labels = ["Innovation_Progress", "Economic_Benefit", "Risk_Harm", "Regulation_Governance", "Existential_AGI", "None"]
+    return sheets(spark, path).select(*[to_bit_half(c).alias(c) if c in labels else F.col(c) for c in S.columns(S.ANNOTATION_SHEET)])
 
 
 def sitemap(spark: SparkSession, path: str, fragment: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select(F.explode(html.sitemap("value", fragment)).alias("url")).distinct()
 
 
-def archive_index(spark: SparkSession, path: str) -> DataFrame:
-    """(urlkey, timestamp, original, status) of an archive index, one row per key, the first capture."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.explode(F.slice(F.from_json("value", "array<array<string>>"), 2, 2**31 - 2)).alias("r")).where(F.size("r") >= 4)
-    cols = rows.select(*[F.col("r")[i].alias(c) for i, c in enumerate(("urlkey", "timestamp", "original", "status"))]).where("status = '200'")
-    return cols.groupBy("urlkey").agg(F.min_by(F.struct("timestamp", "original", "status"), "timestamp").alias("x")).select("urlkey", "x.*")
+def archive_index(spark: SparkSession, path: str, first: str = "", last: str = "", most: int | None = None) -> DataFrame:
+    """(urlkey, timestamp, original, status) of an archive index (JSON rows under a header row): captures with status 200
+    between two stamps, of each key the first, of the keys the first ``most``."""
+    rows = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "array<array<string>>").alias("a"))
+    rows = rows.select(F.col("a")[0].alias("names"), F.explode(F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0)))).alias("r")).where(F.size("r") == F.size("names"))
+    get = lambda c: F.try_element_at(F.map_from_arrays("names", "r"), F.lit(c))
+    status = F.coalesce(get("statuscode"), get("status"), F.lit("200"))
+    cols = rows.select(F.coalesce(get("urlkey"), get("original")).alias("urlkey"), get("timestamp").alias("timestamp"), get("original").alias("original"), status.alias("status"))
+    cols = cols.where((F.col("status") == "200") & (F.col("timestamp") >= first) & (F.lit(not last) | (F.col("timestamp") <= F.lit(last))))
+    one = cols.groupBy("urlkey").agg(F.min(F.struct("timestamp", "original", "status")).alias("x")).select("urlkey", "x.*")
+    return one if most is None else one.orderBy("urlkey").limit(most)
+
+
+def snapshots(index: DataFrame, get: Callable[[str], tuple[int, str]], base: str) -> DataFrame:
+    """(original, date, html): the archived page of each row of an index."""
+    want = index.select("original", dates.compact_day("timestamp").alias("date"), html.snapshot_url(base, F.col("timestamp"), F.col("original")).alias("url"))
+    return fetch(want, get).join(want, "url").select("original", F.coalesce("date", F.lit("unknown")).alias("date"), "html")
 
 
 def feed(spark: SparkSession, path: str) -> DataFrame:
@@ -136,14 +165,74 @@ def feed(spark: SparkSession, path: str) -> DataFrame:
     return df.where("id is not null and summary is not null").select(html.preprint_id(F.col("id")).alias("url"), blank("title").alias("title"), blank("summary").alias("abstract"), F.substring("published", 1, 10).alias("date"))
 
 
-def search_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(url, date) of the results in paged JSON answers, and the total each page tells."""
-    body = spark.read.option("wholetext", True).text(path)
-    hits = F.from_json(F.get_json_object("value", "$.results"), "array<struct<link:string,public_timestamp:string>>")
-    return body.select(html.paged_total("value").alias("total"), F.explode(hits).alias("h")).select("total", F.col("h.link").alias("url"), F.substring("h.public_timestamp", 1, 10).alias("date"))
+def search_pages(bodies: DataFrame, site: str = "", body: str = "body") -> DataFrame:
+    """(total, url, date) of the results in paged JSON answers; links of the site are made absolute."""
+    hits = F.from_json(F.get_json_object(body, "$.results"), "array<struct<link:string,public_timestamp:string>>")
+    rows = bodies.select(html.paged_total(body).alias("total"), F.explode(hits).alias("h")).where("h.link <> ''")
+    url = F.when(F.startswith("h.link", F.lit("/")), F.concat(F.lit(site), F.col("h.link"))).otherwise(F.col("h.link"))
+    return rows.select("total", url.alias("url"), F.substring(F.coalesce("h.public_timestamp", F.lit("unknown")), 1, 10).alias("date"))
+
+
+def search(spark: SparkSession, get: Callable[[str], tuple[int, str]], template: str, site: str = "", count: int = 50, most: int = 500) -> DataFrame:
+    """All pages of a search: the first tells the total, the others are fetched side by side.  ``template`` has
+    ``{start}`` and ``{count}``."""
+    address = lambda start: template.replace("{start}", str(start)).replace("{count}", str(count))
+    from ..session import cut
+
+    first = cut(fetch(spark.createDataFrame([(address(0),)], "url string"), get))
+    total = first.select(F.coalesce(html.paged_total("html"), F.lit(0))).first()[0]
+    rest = [(address(s),) for s in range(count, min(int(total), most), count)]
+    pages = first.unionByName(fetch(spark.createDataFrame(rest, "url string"), get)) if rest else first
+    return search_pages(pages, site, "html").select("url", "date").distinct()
+
+
+def news_pages(pages: DataFrame, body: str = "body", page: str = "page", size: int = 100, most: int = 5) -> DataFrame:
+    """(url, title, description, date) of the articles in numbered answers of a news service.  Reading stops at an
+    answer that is not ok or not full, when the total is reached, and after ``most`` pages."""
+    from pyspark.sql.window import Window as W
 
+    item = "array<struct<url:string,title:string,description:string,publishedAt:string>>"
+    rows = pages.where(F.col(page).between(1, most)).select(
+        F.col(page).alias("page"), (F.get_json_object(body, "$.status") == "ok").alias("ok"), F.coalesce(F.from_json(F.get_json_object(body, "$.articles"), item), F.array().cast(item)).alias("items"),
+        F.coalesce(F.expr(f"try_cast(get_json_object({body}, '$.totalResults') AS bigint)"), F.lit(0)).alias("total"),
+    )
+    before = W.partitionBy(F.lit(0)).orderBy("page").rowsBetween(W.unboundedPreceding, -1)  # at most ``most`` rows
+    n = F.coalesce(F.sum(F.size("items")).over(before), F.lit(0))
+    ends = ~F.coalesce("ok", F.lit(False)) | (F.size("items") < size)
+    stopped = F.coalesce(F.max(ends.cast("int")).over(before), F.lit(0)) == 1
+    full = F.coalesce(F.max("total").over(before) <= n, F.lit(False))
+    rows = rows.withColumn("live", F.col("ok") & ~stopped & ~full)
+    got = rows.where("live").select("page", F.posexplode("items").alias("at", "x"))
+    url = F.regexp_replace(F.regexp_replace("x.url", r"\?.*$", ""), "/+$", "")
+    got = got.select(url.alias("url"), F.coalesce("x.title", F.lit("")).alias("title"), F.coalesce("x.description", F.lit("")).alias("description"), F.substring("x.publishedAt", 1, 10).alias("date"), "page", "at").where("url <> ''")
+    return got.groupBy("url").agg(F.min(F.struct("page", "at", "title", "description", "date")).alias("x")).select("url", "x.title", "x.description", "x.date")
 
-def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str]], blocked: tuple[int, ...] = (401, 403, 404, 410, 429)) -> DataFrame:
+
+def talks(pages: DataFrame, speakers: DataFrame, path: str = "/talks/", tail: str = "/transcript") -> DataFrame:
+    """(url, speaker): transcript addresses of the talk links whose surrounding text names a speaker (of several the
+    least)."""
+    from ..session import small
+
+    found = pages.select(F.col("url").alias("page"), F.explode(html.links_with_text("html")).alias("l")).where(F.contains("l.href", F.lit(path)) & ~F.contains("l.href", F.lit(tail)))
+    origin = F.regexp_extract("page", "^(https?://[^/]+)", 1)
+    slug = F.regexp_extract("l.href", f"{re.escape(path)}([^/?#]+)", 1)
+    found = found.select(F.concat(origin, F.lit(path), slug, F.lit(tail)).alias("url"), F.lower("l.near").alias("near")).where(slug != "")
+    hits = found.join(small(speakers.select("speaker")), F.expr("contains(near, lower(speaker))"))
+    return hits.groupBy("url").agg(F.min("speaker").alias("speaker"))
+
+
+def registry(spark: SparkSession, rows: list[tuple], columns: str, dated: str | None = None) -> DataFrame:
+    """A static table of sources; ``dated`` builds addresses from its ``date``."""
+    out = spark.createDataFrame(rows, columns)
+    return out if dated is None else out.withColumn("url", F.replace(F.lit(dated), F.lit("{date}"), F.col("date")))
+
+
+def dispatch(builders: dict[str, Callable], source: str) -> Callable | None:
+    """The builder of the first key, in order, that occurs in a source's name."""
+    return next((b for k, b in builders.items() if k in source.lower()), None)
+
+
+def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str | bytes]], blocked: tuple[int, ...] = (401, 403, 404, 410, 429), kind: str = "string") -> DataFrame:
     """(url, status, html) by a pluggable ``get``; blocked statuses and failures give null html."""
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,27 +247,53 @@ def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str]], blocked: tuple
             if rows:
                 yield pd.DataFrame(rows, columns=["url", "status", "html"]).astype({"status": "Int32"})
 
-    return urls.select("url").mapInPandas(run, "url string, status int, html string")
+    return urls.select("url").mapInPandas(run, f"url string, status int, html {kind}")
 
 
-def crawl(seeds: DataFrame, get: Callable[[str], tuple[int, str]], rounds: int, accept: str = ".*", patience: int = 3) -> DataFrame:
-    """Pages reached from ``seeds`` within ``rounds`` of following accepted links; stops after ``patience`` rounds
-    without a new one.  Only the count of new links returns to the driver."""
+def crawl(seeds: DataFrame, get: Callable[[str], tuple[int, str]], rounds: int, accept: str = ".*") -> DataFrame:
+    """Pages reached from ``seeds`` within ``rounds`` of following accepted links; ends when none is new.  Only the
+    count of new links returns to the driver."""
     from ..session import cut
 
     pages = cut(fetch(seeds, get))
-    seen, front, idle = pages.select("url"), pages, 0
+    seen, front = pages.select("url"), pages
     for _ in range(rounds):
         new = html.links(front).select(F.col("link").alias("url")).where(F.col("url").rlike(accept)).distinct().join(seen, "url", "left_anti")
         front = cut(fetch(new, get))
-        n = front.count()
-        idle = idle + 1 if n == 0 else 0
-        if n == 0 or idle >= patience:
+        if not front.count():
             break
         pages, seen = pages.unionByName(front), seen.union(front.select("url"))
     return pages
 
 
+def listings(sites: DataFrame, get: Callable[[str], tuple[int, str]], want: int, rounds: int = 30, patience: int = 3) -> DataFrame:
+    """(site, link): posts found on the numbered pages of many listings (``url/page/N``, else ``url?page=N``).  A site
+    ends after ``patience`` pages without a new link or with three times the links it ``want``s; all sites turn a
+    page together."""
+    from ..session import cut
+
+    def posts(pages: DataFrame) -> DataFrame:
+        return html.links(pages).join(pages.select("url", "site"), "url").where(html.is_post(F.col("link"), F.col("site"))).select("site", "link").distinct()
+
+    sites = sites.select(F.col("url").alias("site")).distinct()
+    found = cut(posts(fetch(sites.withColumnRenamed("site", "url"), get).withColumn("site", F.col("url"))))
+    state = sites.withColumn("idle", F.lit(0))
+    for page in range(2, rounds + 2):
+        n = found.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+        state = cut(state.join(n, "site", "left").where((F.col("idle") < patience) & (F.coalesce("n", F.lit(0)) < 3 * want)).select("site", "idle"))
+        if not state.count():
+            break
+        styles = F.array(F.concat("site", F.lit(f"/page/{page}")), F.concat("site", F.lit(f"?page={page}")))
+        tries = state.select("site", F.posexplode(styles).alias("style", "url"))
+        pages = cut(fetch(tries, get).join(tries, "url").where("html is not null"))
+        best = pages.groupBy("site").agg(F.min_by(F.struct("url", "html"), "style").alias("x")).select("site", "x.*")
+        new = cut(posts(best).join(found, ["site", "link"], "left_anti"))
+        found = cut(found.unionByName(new))
+        turned = new.select("site").distinct().withColumn("new", F.lit(True))
+        state = state.join(turned, "site", "left").select("site", F.when(F.col("new"), 0).otherwise(F.col("idle") + 1).alias("idle"))
+    return found
+
+
 def query(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
     """Any SQL over named tables."""
     for name, df in tables.items():

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -20,17 +20,17 @@ def csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def append_new(rows: DataFrame, path: str, key: str, fresh: bool = False) -> int:
-    """Appends rows whose key the table does not have; a repeated call with the same rows adds nothing."""
+    """Appends rows (of a key the least) whose key the table does not have; a repeated call with the same rows adds
+    nothing.  Counted while writing, so the rows are computed once."""
     spark = rows.sparkSession
-    if fresh or not _exists(spark, path):
-        rows.dropDuplicates([key]).write.mode("overwrite").parquet(path)
-        return rows.count()
-    new = rows.dropDuplicates([key]).join(spark.read.parquet(path).select(key), key, "left_anti").persist()
-    n = new.count()
-    if n:
-        new.write.mode("append").parquet(path)
-    new.unpersist()
-    return n
+    rest = [c for c in rows.columns if c != key]
+    one = rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(key, "_row.*").select(*rows.columns) if rest else rows.distinct()
+    create = fresh or not _exists(spark, path)
+    if not create:
+        one = one.join(spark.read.parquet(path).select(key), key, "left_anti")
+    seen = Observation()
+    one.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite" if create else "append").parquet(path)
+    return seen.get["n"]
 
 
 def dead_letters(labeled: DataFrame, path: str) -> None:
@@ -52,11 +52,13 @@ def swap_column(spark: SparkSession, path: str, values: DataFrame, key: str, col
     """Replaces a column of a written table: joined into a new version beside it, which then takes its place."""
     old = spark.read.parquet(path)
     new = old.drop(column).join(values.select(key, column), key, "left")
-    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex[:8]}"
-    new.write.parquet(beside)
-    fs, here, there = _fs(spark, path), _path(spark, path), _path(spark, beside)
-    fs.delete(here, True)
-    fs.rename(there, here)
+    mark = f"{path.rstrip('/')}-{uuid.uuid4().hex[:8]}"
+    new.write.parquet(f"{mark}-new")
+    fs = _fs(spark, path)
+    # the old version is there until the new one stands in its place
+    fs.rename(_path(spark, path), _path(spark, f"{mark}-old"))
+    fs.rename(_path(spark, f"{mark}-new"), _path(spark, path))
+    fs.delete(_path(spark, f"{mark}-old"), True)
 
 
 def _path(spark: SparkSession, path: str):

@@ -1,14 +1,14 @@
 """Structured Streaming: windowed event counts, late data, de-duplication and resumable labelling."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.labeling import LexiconLabeler, label, one_hot
-from ..sources.sinks import append_new
+from ..session import ensure_checkpoint_dir
+from ..sources.sinks import _exists
 
 
 def read_parquet_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -37,22 +37,25 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all that is there and returns its result as a table."""
+    """Runs a stream over all that is there and returns its result, written to the shared folder batch by batch."""
     spark = stream.sparkSession
-    name = f"drained_{uuid.uuid4().hex[:8]}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    out = f"{ensure_checkpoint_dir(spark)}/drained-{uuid.uuid4().hex[:8]}"
+    save = "overwrite" if mode == "complete" else "append"
+    q = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode(save).parquet(f"{out}/rows")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows") if _exists(spark, f"{out}/rows") else spark.createDataFrame([], stream.schema)
 
 
 def label_stream(sentences: DataFrame, out: str, factory=LexiconLabeler, checkpoint: str | None = None) -> None:
-    """Labels micro-batches and appends only ids that are new: a restarted run continues where it stopped."""
+    """Labels micro-batches, each id once: the ids seen are kept in the stream's state, and a batch that is repeated
+    after a failure replaces its own folder.  A restarted run continues where it stopped; its state lies beside the
+    output unless another folder is named."""
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        append_new(one_hot(label(batch, factory)), out, "sentence_id")
+    def write(batch: DataFrame, epoch: int) -> None:
+        one_hot(label(batch, factory)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    folder = checkpoint or f"{tempfile.gettempdir()}/stream-{uuid.uuid4().hex[:8]}"
-    sentences.writeStream.foreachBatch(write).option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
+    once = sentences.dropDuplicates(["sentence_id"])
+    once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint or f"{out.rstrip('/')}-state").trigger(availableNow=True).start().awaitTermination()
 
 
 def unique_urls(stream: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:

@@ -71,6 +71,20 @@ def test_pages(spark):
     assert one(spark, "<p>no date</p>", html.page_date("v")) == "unknown"
 
 
+def test_main_element_is_the_first_of_its_kind():
+    page = '<body><div class="sidebar contents">no</div><nav><article>menu</article></nav><div class="x"><article><p>One</p> <p>two  b</p><article>inner</article></article></div><article>teaser card</article><main>m</main></body>'
+    assert html.extract(page) == "One two b inner"
+    assert html.extract('<div class="a post-body">p</div><div class="body">q</div><p>r</p>') == "p"
+    assert html.extract('<article></article><main>m</main>') == "" and html.extract("<p>a</p>b") == "a b" and html.extract(None) is None
+    assert html.extract('<body>x<div data-purpose="transcript-body">said <b>so</b>\n twice</div></body>', (*html.TRANSCRIPT, *html.MAIN)) == "said so twice"
+
+
+def test_transcript_text(spark):
+    rows = [('<body>x<div class="talk-transcript">said  <b>so</b>\n</div></body>',), ("<main>y</main>",), (None,)]
+    df = spark.createDataFrame(rows, "h string").coalesce(1)
+    assert [r.t for r in df.select(html.transcript_text("h").alias("t")).collect()] == ["said so", "y", None]
+
+
 def test_indexes(spark):
     xml = "<urlset><url><loc>https://a.example/post/1</loc></url><url><loc> https://a.example/about </loc></url></urlset>"
     assert one(spark, xml, html.sitemap("v", "/post/")) == ["https://a.example/post/1"]

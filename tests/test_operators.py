@@ -145,7 +145,7 @@ def test_labeler(spark):
     assert got.agg(F.sum("risk"), F.sum("is_none")).first()[:] == (20, 3)
     bad = labeling.label(spark.createDataFrame([("b1", "bad"), ("b2", "risk")], df.schema).coalesce(1), Flaky, batch=5)
     assert {(r.sentence_id, tuple(r.labels), r.error) for r in bad.collect()} == {("b1", ("None",), "TimeoutError"), ("b2", ("None",), "TimeoutError")}
-    assert labeling.dead_letters(bad).first().n == 2
+    assert labeling.dead_letters(bad).first().n == 2 and len(labeling.dead_letters(bad).first().first_ids) == 2
     with pytest.raises(KeyError):
         labeling.labeler_for("unknown")
     assert labeling.parse_response("[]", ["a"]) == {"a": ["None"]}
@@ -281,6 +281,83 @@ def test_crawl(spark):
     assert set(got) == set(WEB) and got["https://a.example/gone"] is None
 
 
+def test_archive_range_and_snapshots(spark, tmp_path):
+    rows = [["original", "timestamp"], ["u1", "20200101000000"], ["u1", "20210101000000"], ["u2", "20220101000000"], ["u3", "20230101000000"], ["short"]]
+    (tmp_path / "i.json").write_text(json.dumps(rows))
+    read = lambda **k: {(r.original, r.timestamp) for r in readers.archive_index(spark, str(tmp_path / "i.json"), **k).collect()}
+    assert read() == {("u1", "20200101000000"), ("u2", "20220101000000"), ("u3", "20230101000000")}
+    assert read(first="2021", last="2022060100") == {("u1", "20210101000000"), ("u2", "20220101000000")} and len(read(most=2)) == 2
+    (tmp_path / "e.json").write_text("[]")
+    assert readers.archive_index(spark, str(tmp_path / "e.json")).count() == 0
+    got = readers.snapshots(readers.archive_index(spark, str(tmp_path / "i.json")), lambda u: (404, "") if u.endswith("u3") else (200, u), "https://a.example/web")
+    assert {(r.original, r.date, r.html) for r in got.collect()} == {("u1", "2020-01-01", "https://a.example/web/20200101000000/u1"), ("u2", "2022-01-01", "https://a.example/web/20220101000000/u2"), ("u3", "2023-01-01", None)}
+
+
+SITE = {
+    "https://a.example/blog": '<a href="/p1">1</a><a href="/tag/x">t</a><a href="/blog">self</a><a href="/f.pdf">f</a><a href="https://b.example/q">other</a>',
+    "https://a.example/blog/page/2": '<a href="/p2?x=1">2</a><a href="/p1">1</a>', "https://a.example/blog/page/4": '<a href="/p4#c">4</a>',
+    "https://c.example": '<a href="/n1">1</a>', "https://c.example?page=2": '<a href="/n2">2</a>', "https://c.example?page=3": '<a href="/n3">3</a>', "https://c.example?page=4": '<a href="/n4">4</a>',
+}
+
+
+def test_listings_turn_pages(spark):
+    sites = spark.createDataFrame([("https://a.example/blog",), ("https://c.example",)], "url string")
+    get = lambda u: (200, SITE[u]) if u in SITE else (404, "")
+    got = {(r.site[8], r.link.rsplit("/")[-1]) for r in readers.listings(sites, get, 1).collect()}
+    assert got == {("a", "p1"), ("a", "p2"), ("a", "p4"), ("c", "n1"), ("c", "n2"), ("c", "n3")}  # c ends with three times what is wanted
+
+
+def test_search_and_news_pages(spark):
+    def get(url):
+        start = int(url.rsplit("=")[-1])
+        return 200, json.dumps({"total": {"value": 5}, "results": [{"link": f"/r{i}", "public_timestamp": "2024-01-02T00:00:00Z"} for i in range(start, min(start + 2, 5))] + [{"title": "no link"}]})
+
+    assert sorted(tuple(r) for r in readers.search(spark, get, "https://a.example/s?start={start}", "https://a.example", 2).collect()) == [(f"https://a.example/r{i}", "2024-01-02") for i in range(5)]
+    page = lambda n, items, status="ok", total=9: (n, json.dumps({"status": status, "totalResults": total, "articles": [{"url": u, "title": "T", "publishedAt": "2024-01-02T01:00:00Z"} for u in items]}))
+    read = lambda *pages: {r.url for r in readers.news_pages(spark.createDataFrame(list(pages), "page int, body string"), size=2).collect()}
+    assert read(page(1, ["u1?x", "u2/"]), page(2, ["u2", "u3"]), page(3, ["u4"]), page(4, ["u5", "u6"])) == {"u1", "u2", "u3", "u4"}  # ends after a page that is not full
+    assert read(page(1, ["u1", "u2"]), page(2, [], "error"), page(3, ["u3", "u4"])) == {"u1", "u2"}
+    assert read(page(1, ["u1", "u2"], total=2), page(2, ["u3", "u4"])) == {"u1", "u2"} and read(page(6, ["u1", "u2"])) == set()
+
+
+def test_talks_registry_and_dispatch(spark):
+    page = '<ul><li>Ada Vane on rivers <a href="/talks/rivers?x">see</a></li><li>Nobody <a href="/talks/none">see</a></li><li>Ada Vane <a href="/talks/rivers/transcript">t</a></li></ul>'
+    pages = spark.createDataFrame([("https://t.example/s", page), ("https://t.example/e", None)], "url string, html string")
+    got = readers.talks(pages, spark.createDataFrame([("Ada Vane",), ("Bo Lee",)], "speaker string")).collect()
+    assert [tuple(r) for r in got] == [("https://t.example/talks/rivers/transcript", "Ada Vane")]
+    r = readers.registry(spark, [("2024-01-02", "x")], "date string, actor string", "https://p.example/{date}/debate").first()
+    assert r.url == "https://p.example/2024-01-02/debate" and readers.dispatch({"news": 1, "blog": 2}, "A Blog") == 2 and readers.dispatch({}, "x") is None
+
+
+def test_fetched_pdfs(spark):
+    body = b"%PDF-1.4\nstream\nBT (Hello wider world) Tj ET\nendstream\n%%EOF"
+    urls = spark.createDataFrame([("a",), ("b",), ("c",)], "url string")
+
+    def get(u):
+        return (200, body) if u == "a" else (404, b"") if u == "b" else (200, b"nothing")
+
+    assert [tuple(r) for r in readers.fetched_pdfs(urls, get, 3).collect()] == [("a", "Hello wider world")]
+    assert readers.fetched_pdfs(urls, get, 4).count() == 0
+
+
+def test_two_readers(spark):
+    a = spark.createDataFrame([("1", "x", 1), ("2", "y", 0), ("3", "z", 1)], "sentence_id string, note string, risk int")
+    b = spark.createDataFrame([("1", "p", 0), ("2", "q", 0), ("9", "r", 1)], "sentence_id string, note string, risk int")
+    j = agreement.join_readers(a, b, ["risk"])
+    assert j.columns == ["sentence_id", "note_a", "risk_a", "note_b", "risk_b"] and j.count() == 2
+    assert tuple(agreement.overlap(a, b).first()) == (2, 1, 1)
+    p = agreement.with_predictions(a, spark.createDataFrame([("1", ["Risk/Harm"])], "sentence_id string, labels array<string>"))
+    assert {r.sentence_id: r.predicted for r in p.collect()} == {"1": ["Risk/Harm"], "2": ["None"], "3": ["None"]}
+
+
+def test_welch_verdict(spark):
+    df = spark.createDataFrame([(float(x), 1) for x in (5, 6, 7, 8)] + [(float(x), 0) for x in (1, 2, 3, 3)] + [(None, 0)], "v double, f int")
+    r = statistics.welch_verdict(statistics.welch(df, "v", "f")).first()
+    assert r.supported and 0.001 < r.p < 0.01
+    r = statistics.welch_verdict(statistics.welch(df.where("f = 1"), "v", "f")).first()
+    assert r.p is None and not r.supported
+
+
 # -- streams
 def test_label_stream_resumes(spark, tmp_path):
     src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
