@@ -41,10 +41,10 @@ WINNOW = 65
 #: Cells of the sketch per anchor, bits of the folded sketch that is broadcast at most.
 CELLS, MAX_BITS = 256, 27
 #: Anchors of a range of cells, ranges at most (a task's sketch has a row in each), anchors a task holds at once.
-RANGE, MAX_RANGE_BITS, HELD = 1 << 18, 17, 1 << 21
+RANGE, MAX_RANGE_BITS, HELD = 1 << 18, 17, 1 << 20
 #: Positions that are broadcast at most; runs with the same least k-gram that one task compares.
 BROADCAST, LOCAL = 500_000, 2048
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFE)
