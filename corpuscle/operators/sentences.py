@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 
 from .. import schemas as S
 from ..functions import text
+from . import language
 
 
 def explode(docs: DataFrame, keep: list[str], least_tokens: int = 0) -> DataFrame:
@@ -15,13 +16,17 @@ def explode(docs: DataFrame, keep: list[str], least_tokens: int = 0) -> DataFram
     return out.where(F.col("word_count") >= least_tokens) if least_tokens else out
 
 
-def with_reason(sentences: DataFrame, lang: str | None = None) -> DataFrame:
-    """``reason`` of the first failing filter, '' for survivors.  The language test comes last; given as a column,
-    it is applied to survivors only."""
+def with_reason(sentences: DataFrame, lang: str | None = None, profiles: language.Profiles | None = None) -> DataFrame:
+    """``reason`` of the first failing filter, '' for survivors.  The language test comes last, by a column or by
+    detection, and is applied to survivors only."""
     out = sentences.withColumn("reason", text.filter_reason("sentence_text", F.col("word_count")))
     if lang is not None:
         bad = F.coalesce(F.lower(F.col(lang)) != "en", F.lit(False))
         out = out.withColumn("reason", F.when((F.col("reason") == "") & bad, "non_english").otherwise(F.col("reason")))
+    elif profiles is not None:
+        detect = language.detector(sentences.sparkSession, profiles)
+        out = out.withColumn("_lang", detect(F.when(F.col("reason") == "", F.col("sentence_text"))))
+        out = out.withColumn("reason", F.when((F.col("reason") == "") & language.not_english(F.col("_lang")), "non_english").otherwise(F.col("reason"))).drop("_lang")
     return out
 
 

@@ -2,10 +2,10 @@
 from __future__ import annotations
 
 from ..operators import timestamps
-from . import analysis_queries, corpus_queries, inventory_queries
+from . import analysis_queries, corpus_queries, inventory_queries, source_queries
 
-QUERIES = {**corpus_queries.Q, **analysis_queries.Q, **inventory_queries.Q, **timestamps.QUERIES}
-ORACLES: dict[str, str] = {**corpus_queries.O, **analysis_queries.O, **inventory_queries.O}
+QUERIES = {**corpus_queries.Q, **analysis_queries.Q, **inventory_queries.Q, **source_queries.Q, **timestamps.QUERIES}
+ORACLES: dict[str, str] = {**corpus_queries.O, **analysis_queries.O, **inventory_queries.O, **source_queries.O}
 
 
 def queries():

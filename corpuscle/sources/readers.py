@@ -135,13 +135,13 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sitemap(spark: SparkSession, path: str, fragment: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.explode(html.sitemap("value", fragment)).alias("url")).distinct()
+    return spark.read.text(path, wholetext=True).select(F.explode(html.sitemap("value", fragment)).alias("url")).distinct()
 
 
 def archive_index(spark: SparkSession, path: str, first: str = "", last: str = "", most: int | None = None) -> DataFrame:
     """(urlkey, timestamp, original, status) of an archive index (JSON rows under a header row): captures with status 200
     between two stamps, of each key the first, of the keys the first ``most``."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "array<array<string>>").alias("a"))
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<array<string>>").alias("a"))
     rows = rows.select(F.col("a")[0].alias("names"), F.explode(F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0)))).alias("r")).where(F.size("r") == F.size("names"))
     get = lambda c: F.try_element_at(F.map_from_arrays("names", "r"), F.lit(c))
     status = F.coalesce(get("statuscode"), get("status"), F.lit("200"))

@@ -11,8 +11,10 @@ from ..functions.text import key12
 
 
 def keyed_json(docs: DataFrame, path: str) -> None:
-    """JSON by actor and context with the 12-digit key of the address; rewriting the same rows writes the same keys."""
-    docs.withColumn("key", key12(F.col("url"))).write.mode("overwrite").partitionBy("actor", "context").json(path)
+    """One JSON object per document, by actor, context and the 12-digit key of the address; rewriting the same rows
+    writes the same keys.  The columns stay in the objects too."""
+    out = docs.select("*", F.col("actor").alias("raw_actor"), F.col("context").alias("raw_context"), key12(F.col("url")).alias("key"))
+    out.repartition("key").write.mode("overwrite").partitionBy("raw_actor", "raw_context", "key").json(path)
 
 
 def csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -37,15 +39,16 @@ def dead_letters(labeled: DataFrame, path: str) -> None:
     labeled.where("error is not null").withColumn("failed_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
-def load_table(df: DataFrame, name: str, spec: str = S.CORPUS) -> int:
-    """Schema-checked bulk load with upper-case column names; returns the rows loaded."""
+def load_table(df: DataFrame, name: str, spec: str = S.CORPUS, path: str | None = None) -> int:
+    """Schema-checked bulk load with upper-case column names, to ``path`` where one is named; returns the rows loaded."""
     out = S.validate(df, spec)
-    out.toDF(*[c.upper() for c in out.columns]).write.mode("overwrite").format("parquet").saveAsTable(name)
+    writer = out.toDF(*[c.upper() for c in out.columns]).write.mode("overwrite").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
     return df.sparkSession.table(name).count()
 
 
-def create_table(spark: SparkSession, name: str, spec: str = S.CORPUS) -> None:
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(spec.split(', '))}) USING parquet")
+def create_table(spark: SparkSession, name: str, spec: str = S.CORPUS, path: str | None = None) -> None:
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({spec}) USING parquet" + (f" LOCATION '{path}'" if path else ""))
 
 
 def swap_column(spark: SparkSession, path: str, values: DataFrame, key: str, column: str) -> None:
@@ -71,3 +74,10 @@ def _fs(spark: SparkSession, path: str):
 
 def _exists(spark: SparkSession, path: str) -> bool:
     return bool(_fs(spark, path).exists(_path(spark, path)))
+
+
+def save_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file through the file system of its path."""
+    stream = _fs(spark, path).create(_path(spark, path), True)
+    stream.write(bytearray(data))
+    stream.close()

@@ -1,13 +1,11 @@
 """Structured Streaming: windowed event counts, late data, de-duplication and resumable labelling."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.labeling import LexiconLabeler, label, one_hot
-from ..session import ensure_checkpoint_dir
+from ..session import shared_folder
 from ..sources.sinks import _exists
 
 
@@ -39,7 +37,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a stream over all that is there and returns its result, written to the shared folder batch by batch."""
     spark = stream.sparkSession
-    out = f"{ensure_checkpoint_dir(spark)}/drained-{uuid.uuid4().hex[:8]}"
+    out = shared_folder(spark, "drained")
     save = "overwrite" if mode == "complete" else "append"
     q = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode(save).parquet(f"{out}/rows")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
