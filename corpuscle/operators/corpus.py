@@ -60,11 +60,6 @@ def deduplicate(docs: DataFrame, prefix: int = 200) -> DataFrame:
     return settle(rows, "_k", cut(twice), F.col("doc_id") == F.col("_least")).drop("_k")
 
 
-def first_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row per key, the first in ``order`` (global de-duplication across sources)."""
-    return rows.withColumn("_rn", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_rn = 1").drop("_rn")
-
-
 def counts(docs: DataFrame, *keys: str) -> DataFrame:
     return docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"))
 

@@ -8,7 +8,7 @@ from .. import schemas as S
 from ..functions import dates, text
 from ..operators import corpus as C
 from ..operators import sampling, sentences
-from ..session import cut, small, squash, table
+from ..session import cut, small, spread, squash, table
 
 CELL = 20  # rows wanted per actor and context in these tables
 SEED = 11
@@ -25,7 +25,7 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def all_sentences(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
-    docs = enriched(spark, sf) if docs is None else docs
+    docs = spread(enriched(spark, sf) if docs is None else docs)
     return sentences.explode(docs, ["doc_id", "actor", "actor_type", "context", "date", "post_chatgpt"])
 
 

@@ -116,7 +116,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Rebalance rows before heavy per-row work where the scan has fewer files than the cluster has cores
     (a Parquet file written as one row group is one task, however large); otherwise leave the scan as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if 0 < len(df.inputFiles()) < cores else df
+    files = len(df._jdf.inputFiles())  # counted in the JVM
+    return df.repartition(2 * cores) if 0 < files < cores else df
 
 
 _SHIPPED: set[str] = set()
