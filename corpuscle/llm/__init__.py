@@ -1,23 +1,14 @@
 """Operators for preparing language-model training data; nothing outside this subpackage imports it."""
 from __future__ import annotations
 
-from importlib import import_module
+from . import boilerplate, consensus, encoding, packing, quota, residue, sentences, spans, transcripts
 
-MODULES = ("boilerplate", "consensus", "sentences", "residue", "transcripts", "quota", "encoding", "packing", "spans")
-
-
-def _modules():
-    for name in MODULES:
-        try:
-            yield import_module(f"{__name__}.{name}")
-        except ModuleNotFoundError as e:
-            if not str(e.name).startswith(__name__):
-                raise
+MODULES = (boilerplate, consensus, sentences, residue, transcripts, quota, encoding, packing, spans)
 
 
 def queries() -> dict:
-    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in _modules() for k, v in getattr(m, "ORACLES", {}).items()}
+    return {k: v for m in MODULES for k, v in getattr(m, "ORACLES", {}).items()}

@@ -20,7 +20,7 @@ Spans are put together per document with a running window over its own positions
 
 Defined results: lengths and offsets are code points of the stored text; null and short texts share nothing;
 the same passage twice in one document is not shared; whole copies are; rows repeating a doc_id count as one
-document; very long texts are hashed in overlapping chunks.
+document, rows without one as none; very long texts are hashed in overlapping chunks.
 """
 from __future__ import annotations
 
@@ -411,7 +411,7 @@ def shared_runs(df: DataFrame, key: str, text: str, length: int = LENGTH, w: int
     Runs with the same text in two documents are shared whole.  What is left are the ends of copies, where a run has
     a text of its own: those runs, and one representative of each other run with the same least k-gram, are taken
     apart into windows, which are grouped exactly."""
-    base = spread(df.select(F.col(key), F.col(text).alias("_text")).where(F.length(text) >= length))
+    base = spread(df.select(F.col(key), F.col(text).alias("_text")).where(F.col(key).isNotNull() & (F.length(text) >= length)))
     chars = base.agg(F.coalesce(F.sum(F.length("_text").cast("bigint")), F.lit(0))).first()[0]
     sk = Sketch(2 * chars // (w + 1), max_bits)
     hits = cut(_repeated(base, key, "_text", cut(sketch(base, "_text", sk, length, w)), sk, length, w))
@@ -474,3 +474,16 @@ def p10_shared(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {"p10_found": p10_found, "p10_spans": p10_spans, "p10_shared": p10_shared}
+
+_WINDOWS = f"""WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= {LENGTH}), w AS (SELECT doc_id, p AS pos, substr(text, p + 1, {LENGTH}) AS s FROM (SELECT *, unnest(range(0, n - {LENGTH - 1})) AS p FROM d)),
+twice AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)), hit AS (SELECT DISTINCT doc_id, pos FROM w SEMI JOIN twice USING (s)),
+mark AS (SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + {LENGTH} THEN 0 ELSE 1 END AS new FROM hit),
+run AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k FROM mark), span AS (SELECT doc_id, min(pos) AS start, max(pos) + {LENGTH} - min(pos) AS n_chars FROM run GROUP BY doc_id, k)
+"""
+ORACLES = {
+    "p10_found": _WINDOWS + "SELECT DISTINCT doc_id FROM hit",
+    "p10_spans": _WINDOWS + "SELECT * FROM span",
+    "p10_shared": _WINDOWS
+    + """, s AS (SELECT doc_id, CAST(sum(n_chars) AS BIGINT) AS shared_chars, count(*) AS n_spans FROM span GROUP BY 1), a AS (SELECT doc_id, coalesce(length(text), 0) AS n_chars FROM documents)
+SELECT doc_id, n_chars, coalesce(shared_chars, 0) AS shared_chars, coalesce(n_spans, 0) AS n_spans, round(coalesce(shared_chars / nullif(n_chars, 0), 0), 6) AS share FROM a LEFT JOIN s USING (doc_id)""",
+}
