@@ -82,6 +82,8 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _DENSE = re.compile(r"[؀-ۿऀ-ॿ฀-๿぀-ヿ一-鿿가-힯Ͱ-ϿЀ-ӿ]")
 _FINAL = ".!?…。！？।؟;:\"”»’)“"
 SHORT_WORDS, OWN_WORDS, REPEATS, SHARE = 80, 6, 3, 0.001
+#: Words of a message and of what accompanies it at most.
+MESSAGE_WORDS, ASIDE_WORDS = 22, 20
 #: Weight of a word that residue does not have.
 UNSEEN = -0.5
 
@@ -100,30 +102,44 @@ def _sentences(text: str) -> Iterator[str]:
     yield text[at:].strip()
 
 
+def _sentence(s: str, words: list[str], holes: list[str]) -> str:
+    """What a sentence is: 'marked', 'weak', 'own' or 'none'."""
+    if holes and (len(holes) * 6 >= len(words) or len(words) <= 12 * min(len(holes), 1) or s.startswith("<!--")):
+        return "marked"
+    if _filler(words) or len(words) <= MESSAGE_WORDS and STRONG.search(s):
+        return "marked"
+    if len(words) <= ASIDE_WORDS and ASIDE.search(s):
+        return "weak"
+    if len(words) >= OWN_WORDS and s[-1] in _FINAL or len(_DENSE.findall(s)) >= 6:
+        return "own"
+    return "weak" if WEAK.search(s) else "none"
+
+
 def judge(text: str) -> str:
-    """'residue', 'content', 'weak' (no sentence of its own, terms of a message) or 'none'."""
-    marked, weak = 0, False
-    for s in _sentences(text):
-        if not s:
-            continue
+    """'residue', 'content', 'weak' (no sentence of its own, terms of a message) or 'none'.  One sentence of its own
+    decides, so those too long for a message, which are told without its patterns, are looked at first."""
+    def parse(s: str) -> tuple[str, list[str], list[str]]:
         holes = PLACEHOLDER.findall(s)
-        bare = PLACEHOLDER.sub(" ", s) if holes else s
-        words = _WORDS.findall(bare.lower())
-        if holes and (len(holes) * 6 >= len(words) or len(words) <= 12 * min(len(holes), 1) or s.startswith("<!--")):
-            marked += 1
-        elif _filler(words) or len(words) <= 22 and STRONG.search(s):
-            marked += 1
-        elif ASIDE.search(s) and len(words) <= 20:
-            weak = True
-        elif len(words) >= OWN_WORDS and s[-1] in _FINAL or len(_DENSE.findall(s)) >= 6:
-            return "content"  # one sentence of its own decides
+        return s, _WORDS.findall((PLACEHOLDER.sub(" ", s) if holes else s).lower()), holes
+
+    later, seen = [], set()
+    for s in _sentences(text):
+        if s.count(" ") <= MESSAGE_WORDS:
+            later.append(s)
+        elif (what := _sentence(*parse(s))) == "own":
+            return "content"
         else:
-            weak = weak or bool(WEAK.search(s))
-    return "residue" if marked else "weak" if weak else "none"
+            seen.add(what)
+    for s in later:
+        if s and (what := _sentence(*parse(s))) == "own":
+            return "content"
+        elif s:
+            seen.add(what)
+    return "residue" if "marked" in seen else "weak" if "weak" in seen else "none"
 
 
 def short(text: str) -> bool:
-    return sum(1 for _ in islice(_WORDS.finditer(text), SHORT_WORDS + 1)) <= SHORT_WORDS
+    return len(list(islice(_WORDS.finditer(text), SHORT_WORDS + 1))) <= SHORT_WORDS
 
 
 def skeleton(text: str) -> str:
