@@ -53,14 +53,18 @@ class Fit:
         return r2, adj, f, f_upper(f, k, df) if f == f else float("nan"), self.n
 
 
-def cells(df: DataFrame, y: str, factors: list[str]) -> list[tuple]:
-    """(levels..., n, sum, sum of squares) of complete rows."""
-    whole = df.dropna(subset=[y, *factors])
-    g = whole.groupBy(*factors).agg(F.count(F.lit(1)).alias("_n"), F.sum(y).alias("_s"), F.sum(F.col(y) * F.col(y)).alias("_q"))
-    rows = g.limit(MAX_CELLS + 1).collect()
+def cells_of(df: DataFrame, ys: list[str], factors: list[str]) -> dict[str, list[tuple]]:
+    """Per outcome (levels..., n, sum, sum of squares) of its complete rows, all outcomes in one aggregation."""
+    sums = [x.alias(f"_{k}{i}") for i, y in enumerate(ys) for k, x in (("n", F.count(y)), ("s", F.sum(y)), ("q", F.sum(F.col(y) * F.col(y))))]
+    rows = df.dropna(subset=factors).groupBy(*factors).agg(*sums).limit(MAX_CELLS + 1).collect()
     if len(rows) > MAX_CELLS:
         raise ValueError("more factor cells than MAX_CELLS")
-    return [tuple(r) for r in rows]
+    k = len(factors)
+    return {y: [(*r[:k], *r[k + 3 * i : k + 3 * i + 3]) for r in rows if r[k + 3 * i]] for i, y in enumerate(ys)}
+
+
+def cells(df: DataFrame, y: str, factors: list[str]) -> list[tuple]:
+    return cells_of(df, [y], factors)[y]
 
 
 def _levels(rows: list[tuple], i: int, factor: str) -> list:
@@ -72,7 +76,11 @@ def _levels(rows: list[tuple], i: int, factor: str) -> list:
 
 def fit(df: DataFrame, y: str, factors: list[str], interactions: list[tuple[str, str]] = (), numeric: tuple[str, ...] = ()) -> Fit:
     """Treatment-coded least squares of ``y`` on ``factors`` (those in ``numeric`` enter as numbers)."""
-    rows = sorted(cells(df, y, factors), key=str)
+    return fit_cells(cells(df, y, factors), factors, interactions, numeric)
+
+
+def fit_cells(rows: list[tuple], factors: list[str], interactions: list[tuple[str, str]] = (), numeric: tuple[str, ...] = ()) -> Fit:
+    rows = sorted(rows, key=str)
     where = {f: i for i, f in enumerate(factors)}
     cols: list[tuple[str, np.ndarray]] = [("Intercept", np.ones(len(rows)))]
     dummies: dict[str, list[tuple[str, np.ndarray]]] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..functions import html, text
 from ..operators import agreement, labeling, rollup, statistics
-from ..session import cut, table
+from ..session import cut, small, table
 from ..streaming import pipelines
 from .corpus_queries import _RX, POOL, enriched, pool
 
@@ -277,27 +277,55 @@ def m1(s, sf, y: str = "regulation_score"):
     return statistics.fit(analysis(s, sf).withColumn("post_chatgpt", F.col("post_chatgpt").cast("int")), y, ["context", "post_chatgpt"], numeric=("post_chatgpt",))
 
 
-_M1 = f"""WITH {ANALYSIS}, d AS (SELECT context, CAST(post_chatgpt AS DOUBLE) AS x, regulation_score AS y FROM ad WHERE context IS NOT NULL AND post_chatgpt IS NOT NULL AND regulation_score IS NOT NULL),
+def _m1_sql(y: str) -> str:
+    """Model 1 by the within-context slope."""
+    return f"""WITH {ANALYSIS}, d AS (SELECT context, CAST(post_chatgpt AS DOUBLE) AS x, {y} AS y FROM ad WHERE context IS NOT NULL AND post_chatgpt IS NOT NULL AND {y} IS NOT NULL),
 g AS (SELECT context, avg(x) AS mx, avg(y) AS my, count(*) AS n, sum(x * y) - count(*) * avg(x) * avg(y) AS sxy, sum(x * x) - count(*) * avg(x) * avg(x) AS sxx FROM d GROUP BY 1),
 b AS (SELECT sum(sxy) / sum(sxx) AS b FROM g), i AS (SELECT context, my - b * mx AS a FROM g, b)"""
 
 
+_M1 = _m1_sql("regulation_score")
+
+
 @query("m1_coef", _M1 + """ SELECT 'Intercept' AS term, round(a, 6) AS coef FROM i WHERE context = 'commercial' UNION ALL SELECT 'context[' || context || ']', round(a - (SELECT a FROM i WHERE context = 'commercial'), 6) FROM i WHERE context <> 'commercial' UNION ALL SELECT 'post_chatgpt', round(b, 6) FROM b""")
 def m1_coef(s, sf):
     return _rows(s, m1(s, sf).table()).select("term", "coef")
 
 
-@query("m1_inference")
+#: The density of Student's t with v degrees, its two-sided tail by Simpson's rule, and the upper tail of F.
+_DENSITY = "exp(lgamma((v + 1) / 2.0) - lgamma(v / 2.0)) / sqrt(v * pi()) * pow(1 + {u} * {u} / v, -(v + 1) / 2.0)"
+_TAIL = f"greatest(0.0, (SELECT 1 - 2 * sum((CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * {_DENSITY.format(u='(k * abs(t) / 2000)')}) * abs(t) / 6000 FROM range(0, 2001) AS r(k)))"
+_F_TAIL = """greatest(0.0, (SELECT sum((CASE WHEN k = 20000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(lgamma((d1 + d2) / 2.0) - lgamma(d1 / 2.0) - lgamma(d2 / 2.0) + (d2 / 2.0 - 1) * ln(k * x / 20000) + (d1 / 2.0 - 1) * ln(1 - k * x / 20000))) * x / 60000 FROM range(1, 20001) AS r(k)))"""
+
+
+def _m1_errors(y: str) -> str:
+    """CTE ``e`` (term, coef, se) of model 1, and ``s`` with its error variance."""
+    return _m1_sql(y) + """, f AS (SELECT d.context, x, y, a + b.b * x AS fit FROM d JOIN i USING (context), b), s AS (SELECT sum((y - fit) * (y - fit)) / (count(*) - (SELECT count(*) FROM g) - 1) AS s2, count(*) AS n, count(*) - (SELECT count(*) FROM g) - 1 AS v FROM f),
+w AS (SELECT sum(sxx) AS w FROM g), r AS (SELECT * FROM g WHERE context = 'commercial'), ra AS (SELECT a AS ra FROM i WHERE context = 'commercial'),
+e AS (SELECT 'Intercept' AS term, ra AS coef, sqrt(s2 * (1.0 / r.n + r.mx * r.mx / w)) AS se FROM s, w, r, ra
+  UNION ALL SELECT 'context[' || g.context || ']', i.a - ra, sqrt(s2 * (1.0 / g.n + 1.0 / r.n + (g.mx - r.mx) * (g.mx - r.mx) / w)) FROM g JOIN i USING (context), s, w, r, ra WHERE g.context <> 'commercial' UNION ALL SELECT 'post_chatgpt', b.b, sqrt(s2 / w) FROM b, s, w)"""
+
+
+_INFERENCE = _m1_errors("regulation_score") + f""", t AS (SELECT term, coef, se, coef / se AS t, CAST(v AS DOUBLE) AS v FROM e, s), p AS (SELECT *, {_TAIL} AS p FROM t), z AS (SELECT term, coef, se, t, v, p, CASE WHEN p >= 0.05 THEN '' WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' ELSE '*' END AS stars FROM p)"""
+
+
+@query("m1_inference", _INFERENCE + f""", grid AS (SELECT u, 0.5 + (sum(d) OVER (ORDER BY u ROWS UNBOUNDED PRECEDING) - d / 2 - first_value(d) OVER (ORDER BY u) / 2) * 0.00002 AS cdf FROM (SELECT k * 0.00002 AS u, {_DENSITY.format(u='(k * 0.00002)')} AS d FROM range(0, 200001) AS r(k), (SELECT CAST(v AS DOUBLE) AS v FROM s))), q AS (SELECT min(u) AS q FROM grid WHERE cdf >= 0.975)
+SELECT term, round(coef, 6) AS coef, round(se, 6) AS se, round(t, 6) AS t, round(p, 6) AS p, round(coef - q * se, 6) AS low, round(coef + q * se, 6) AS high, false AS aliased, stars FROM z, q""")
 def m1_inference(s, sf):
     return _rows(s, m1(s, sf).table())
 
 
-@query("m1_fit")
+OUTCOMES = ("risk_score", "innovation_score", "regulation_score")
+
+
+@query("m1_fit", " UNION ALL ".join(f"""SELECT * FROM ({_m1_errors(y)}, q AS (SELECT count(*) AS n, sum((y - fit) * (y - fit)) AS sse, sum(y * y) - count(*) * avg(y) * avg(y) AS sst, (SELECT count(*) FROM g) AS d1 FROM f), h AS (SELECT n, sse / sst AS u, d1, n - d1 - 1 AS d2, (sst - sse) / d1 / (sse / (n - d1 - 1)) AS f FROM q),
+x AS (SELECT *, d2 / (d2 + d1 * f) AS x FROM h) SELECT '{y}' AS outcome, round(1 - u, 6) AS r2, round(1 - u * (n - 1) / d2, 6) AS adj_r2, round(f, 4) AS f, round({_F_TAIL}, 6) AS p, CAST(n AS INTEGER) AS n FROM x)""" for y in OUTCOMES))
 def m1_fit(s, sf):
-    out = []
-    for y in ("risk_score", "innovation_score", "regulation_score"):
-        r2, adj, f, p, n = m1(s, sf, y).summary()
-        out.append((y, *(round(float(v), 6) for v in (r2, adj, f, p)), n))
+    d = analysis(s, sf).withColumn("post_chatgpt", F.col("post_chatgpt").cast("int"))
+    factors, out = ["context", "post_chatgpt"], []
+    for y, rows in statistics.cells_of(d, list(OUTCOMES), factors).items():
+        r2, adj, f, p, n = statistics.fit_cells(rows, factors, numeric=("post_chatgpt",)).summary()
+        out.append((y, round(float(r2), 6), round(float(adj), 6), round(float(f), 4), round(float(p), 6), n))
     return s.createDataFrame(out, "outcome string, r2 double, adj_r2 double, f double, p double, n int")
 
 
@@ -345,6 +373,26 @@ def m3_coef(s, sf):
     return _rows(s, f.table())
 
 
+@query("recall_by_positioning", f"WITH {BOTH}, d AS (SELECT actor, min(positioning) AS positioning FROM enriched GROUP BY 1) SELECT positioning, CAST(sum(innovation_a) AS BIGINT) AS n_true, round(sum(innovation_a * innovation_b) / nullif(sum(innovation_a), 0), 6) AS recall FROM both_ JOIN d USING (actor) GROUP BY 1")
+def recall_by_positioning(s, sf):
+    from ..operators.corpus import dimension
+
+    d = dimension(table(s, sf, "dim_actor")).select("actor", "positioning")
+    b = both(s, sf).join(small(d), "actor").groupBy("positioning").agg(F.sum("innovation_a").alias("n_true"), F.sum(F.col("innovation_a") * F.col("innovation_b")).alias("hit"))
+    return b.select("positioning", "n_true", F.round(F.try_divide("hit", "n_true"), 6).alias("recall"))
+
+
+_REFIT = _m1_sql("least(innovation_score / CASE context WHEN 'commercial' THEN 0.8 WHEN 'policy' THEN 0.7 ELSE 0.9 END, 1.0)")
+
+
+@query("recall_refit", _REFIT + """ SELECT 'Intercept' AS term, round(a, 6) AS coef FROM i WHERE context = 'commercial' UNION ALL SELECT 'context[' || context || ']', round(a - (SELECT a FROM i WHERE context = 'commercial'), 6) FROM i WHERE context <> 'commercial' UNION ALL SELECT 'post_chatgpt', round(b, 6) FROM b""")
+def recall_refit(s, sf):
+    """Model 1 on scores corrected by the recall of their context."""
+    recall = F.when(F.col("context") == "commercial", 0.8).when(F.col("context") == "policy", 0.7).otherwise(0.9)
+    d = analysis(s, sf).where("context is not null").withColumn("corrected", F.least(F.col("innovation_score") / recall, F.lit(1.0))).withColumn("post_chatgpt", F.col("post_chatgpt").cast("int"))
+    return _rows(s, statistics.fit(d, "corrected", ["context", "post_chatgpt"], numeric=("post_chatgpt",)).table()).select("term", "coef")
+
+
 @query("recall_corrected", f"WITH {LD} SELECT context, count(*) AS n, round(avg(least(innovation_score / 0.8, 1.0)), 6) AS corrected FROM ld WHERE innovation_score IS NOT NULL GROUP BY 1")
 def recall_corrected(s, sf):
     d = documents_once(s, sf).where("innovation_score is not null")

@@ -8,7 +8,7 @@ from ..functions import text
 from ..operators import corpus as C
 from ..operators import labeling, statistics
 from ..session import small, table
-from .analysis_queries import BOTH, LD, SCORES, _rows, both, documents_once, m1
+from .analysis_queries import _INFERENCE, BOTH, LD, SCORES, _rows, both, documents_once, m1
 from .corpus_queries import ENRICHED, POOL, enriched, pool
 
 Q, O = {}, {}
@@ -113,7 +113,7 @@ def unmatched_ids(s, sf):
     return j.agg(F.count_if(F.col("_labeled_documents").isNull()).alias("only_corpus"), F.count_if(F.col("_corpus").isNull()).alias("only_labeled"), F.count_if(F.col("_corpus").isNotNull() & F.col("_labeled_documents").isNotNull()).alias("both_sides"))
 
 
-@query("significant_terms")
+@query("significant_terms", f"{_INFERENCE} SELECT term, round(coef, 6) AS coef, round(p, 6) AS p, stars FROM z WHERE round(p, 6) < 0.05")
 def significant_terms(s, sf):
     """Terms of model 1 with p below 0.05 and their stars."""
     return _rows(s, m1(s, sf).table()).where("p < 0.05").select("term", "coef", "p", "stars")

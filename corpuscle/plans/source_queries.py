@@ -10,7 +10,8 @@ from ..functions import dates, html, text
 from ..operators import agreement, labeling, language, sentences, statistics
 from ..session import cut, shared_folder, small, table
 from ..sources import readers, reports, sinks
-from .analysis_queries import _M1, _M2, ANALYSIS, FRAMES, LABELED, PAGE, _hot, _rows, cross_context_std, m1, m2, pages
+from .analysis_queries import _M2, _TAIL, ANALYSIS, FRAMES, PAGE, _hot, _rows, cross_context_std, m2, pages
+from .analysis_queries import O as ANALYSIS_SQL
 from .corpus_queries import GOLD, OVERLAP, POOL, SEED, gold, overlap, pool
 
 Q, O = {}, {}
@@ -356,23 +357,6 @@ def detected_english_pool(s, sf):
 
 
 # -- inference that SQL can follow -----------------------------------------------------------------------------------
-_S2 = _M1 + """, f AS (SELECT d.context, x, y, a + b.b * x AS fit FROM d JOIN i USING (context), b), s AS (SELECT sum((y - fit) * (y - fit)) / (count(*) - (SELECT count(*) FROM g) - 1) AS s2, count(*) AS n FROM f), w AS (SELECT sum(sxx) AS w FROM g), r AS (SELECT * FROM g WHERE context = 'commercial')"""
-
-
-@query("m1_errors", _S2 + """ SELECT 'Intercept' AS term, round(sqrt(s2 * (1.0 / r.n + r.mx * r.mx / w)), 6) AS se FROM s, w, r
-UNION ALL SELECT 'context[' || g.context || ']', round(sqrt(s2 * (1.0 / g.n + 1.0 / r.n + (g.mx - r.mx) * (g.mx - r.mx) / w)), 6) FROM g, s, w, r WHERE g.context <> 'commercial' UNION ALL SELECT 'post_chatgpt', round(sqrt(s2 / w), 6) FROM s, w""")
-def m1_errors(s, sf):
-    """Standard errors of model 1."""
-    return _rows(s, m1(s, sf).table()).select("term", "se")
-
-
-@query("m1_quality", _S2 + """, q AS (SELECT count(*) AS n, sum((y - fit) * (y - fit)) AS sse, sum(y * y) - count(*) * avg(y) * avg(y) AS sst, (SELECT count(*) FROM g) AS k FROM f)
-SELECT n, round(1 - sse / sst, 6) AS r2, round(1 - sse / sst * (n - 1) / (n - k - 1), 6) AS adj_r2, round((sst - sse) / k / (sse / (n - k - 1)), 4) AS f FROM q""")
-def m1_quality(s, sf):
-    r2, adj, f, _p, n = m1(s, sf).summary()
-    return s.createDataFrame([(n, round(float(r2), 6), round(float(adj), 6), round(float(f), 4))], "n bigint, r2 double, adj_r2 double, f double")
-
-
 @query("m2_terms", _M2 + """, first AS (SELECT min(actor) AS a FROM q), ctx AS (SELECT context, m - (SELECT m FROM q WHERE actor = (SELECT a FROM first) AND context = 'commercial') AS c FROM q WHERE actor = (SELECT a FROM first)),
 m0 AS (SELECT m AS m0 FROM q WHERE actor = (SELECT a FROM first) AND context = 'commercial'), base AS (SELECT actor, CASE WHEN bool_or(context = 'commercial') THEN 'commercial' ELSE max(context) END AS base FROM q GROUP BY 1),
 eff AS (SELECT q.actor, base.base, q.m - m0 - ctx.c AS e FROM q JOIN base ON q.actor = base.actor AND q.context = base.base JOIN ctx ON ctx.context = q.context, m0)
@@ -383,7 +367,8 @@ def m2_terms(s, sf):
     return _rows(s, m2(s, sf).table()).select("term", "coef")
 
 
-@query("welch_verdict")
+@query("welch_verdict", f"""WITH w AS ({ANALYSIS_SQL['welch_t']}), p AS (SELECT *, CASE WHEN t IS NOT NULL THEN round((SELECT {_TAIL} FROM (SELECT w.t AS t, w.df AS v)), 6) END AS p FROM w)
+SELECT *, coalesce(p < 0.05 AND mean_1 > mean_0, false) AS supported FROM p""")
 def welch_verdict(s, sf):
     """Welch's test with its p and the verdict on individuals above institutions."""
     return statistics.welch_verdict(statistics.welch(cross_context_std(s, sf), "cross_context_std", "is_individual"))
