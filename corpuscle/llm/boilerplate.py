@@ -282,9 +282,11 @@ def bounds(inside: np.ndarray, full: list[int], kind: list[int], heads: set[int]
     """Lines inside or next to a content region of the non-blank lines; a list goes on as long as its items do, and
     a learned heading that follows takes the paragraph that it leads with it."""
     near = [bool(inside[max(0, k - 1) : k + 2].any()) for k in range(len(full))]
-    for ks in (range(1, len(full)), range(len(full) - 2, -1, -1)):
-        for k in ks:
-            near[k] = near[k] or near[k - ks.step] and (kind[full[k]] == ITEM or ks.step > 0 and (full[k] in heads or kind[full[k]] == PARA and full[k - 1] in heads))
+    chain = [k for k in range(len(full)) if kind[full[k]] != DROP]  # a control between them parts no lines
+    for last, k in zip(chain, chain[1:]):
+        near[k] = near[k] or near[last] and (kind[full[k]] == ITEM or full[k] in heads or kind[full[k]] == PARA and full[last] in heads)
+    for last, k in zip(chain[::-1], chain[-2::-1]):
+        near[k] = near[k] or near[last] and kind[full[k]] == ITEM
     return {i for i, n in zip(full, near) if n}
 
 
