@@ -84,8 +84,10 @@ _FINAL = ".!?…。！？।؟;:\"”»’)“"
 SHORT_WORDS, OWN_WORDS, REPEATS, SHARE = 80, 6, 3, 0.001
 #: Words of a message and of what accompanies it at most.
 MESSAGE_WORDS, ASIDE_WORDS = 22, 20
-#: Weight of a word that residue does not have.
-UNSEEN = -0.5
+TITLE_CHARS = 80
+#: Weight of a word that residue does not have; mean weight from which a text with sentences of its own speaks like a
+#: message all the same (texts without one: above 0).
+UNSEEN, LIKE = -0.5, 0.5
 
 
 def _filler(words: list[str]) -> bool:
@@ -148,13 +150,14 @@ def skeleton(text: str) -> str:
 
 
 def titles(text: str) -> tuple[str, bool]:
-    """(first line of a text, whether no term of it returns in the rest of the text)."""
+    """(first line of a text, whether it is a title no term of which returns in the rest of the text)."""
     text = text.strip()
     first = text.split("\n", 1)[0].strip()
     terms = lambda x: {w for w in _WORDS.findall(x.lower()) if len(w) > 3}
     rest = text[len(first) :]
     own = terms(first)
-    return first, bool(own and rest.strip()) and not own & terms(rest)
+    title = 0 < len(first) <= TITLE_CHARS and first[-1] not in _FINAL
+    return first, title and bool(own and rest.strip()) and not own & terms(rest)
 
 
 def weights(judged: DataFrame) -> dict[str, float]:
@@ -196,9 +199,10 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "body", host: str
     @F.pandas_udf("double")
     def message(words: pd.Series) -> pd.Series:
         w = shared.value
-        return pd.Series([float(sum(w.get(x, UNSEEN) for x in ws)) for ws in words], dtype="float64")
+        return pd.Series([float(sum(w.get(x, UNSEEN) for x in ws)) / max(len(ws), 1) for ws in words], dtype="float64")
 
-    said = cut(judged.where("verdict != 'residue'").withColumn("like", message("words")).where("verdict = 'weak' or like > 0").select(key, "host", "skeleton", "title"))
+    like = (F.col("verdict") == "weak") | ((F.col("verdict") == "none") & (F.col("like") > 0)) | (F.col("like") >= LIKE)
+    said = cut(judged.where("verdict != 'residue'").withColumn("like", message("words")).where(like).select(key, "host", "skeleton", "title"))
     # returned on several hosts, or on one under titles that its body doesn't answer
     common = said.groupBy("skeleton").agg(F.countDistinct(key).alias("n"), F.countDistinct("host").alias("hosts"), F.countDistinct("title").alias("titles"))
     common = common.where((F.col("n") >= REPEATS) & ((F.col("hosts") >= 2) | (F.col("titles") >= REPEATS))).select("skeleton", F.when(F.col("hosts") >= 2, "hosts").otherwise("titles").alias("signal"))

@@ -168,11 +168,13 @@ def test_weak_texts_need_repetition_across_hosts(spark):
 
 
 def test_new_phrasing_is_found_by_its_words_and_returns(spark):
-    known = ["The page you asked for was not found. Check the address and try again.", "This page does not exist. Check the address you typed.", "Sorry, the page you want has moved. Try the address again."]
+    known = ["The page you asked for was not found. Check the address and try again.", "This page does not exist. Check the address you typed.", "Sorry, the page you want has moved. Try the address again.", "We looked at that address, but the page was not found.", "You will have to try another one, this page does not exist."]
     new = "We looked for the page at that address, but you will have to try another one."
     assert R.judge(new) == "content"
-    rows = [(f"k{i}", known[i % 3], f"h{i % 5}") for i in range(30)]
+    rows = [(f"k{i}", known[i % 5], f"h{i % 4}") for i in range(30)]
     rows += [(f"c{i}", f"The council of Vane{i} met on Monday and agreed on a plan for the river.", f"h{i % 5}") for i in range(60)]  # repeats, but is no message
+    rows += [(f"w{i}", f"We waited, then tried again to look for Vane{i}.", f"h{i}") for i in range(4)]  # some words of messages
+    rows += [(f"l{i}", f"The plan of Vane{i} was agreed on by the council of the river on Monday in the end.\n{new}", f"h{i}") for i in range(4)]  # a first line that is no title
     rows += [(f"n{i}", new, f"h{i}") for i in range(3)] + [("once", "You may want to try the other page at the address again, it is the one we looked for.", "h1")]
     got = {r.doc_id: r.signal for r in R.verdicts(spark.createDataFrame(rows, "doc_id string, body string, host string")).collect()}
     assert got == {**{f"k{i}": "detector" for i in range(30)}, **{f"n{i}": "hosts" for i in range(3)}}
