@@ -70,7 +70,7 @@ NOTICE = re.compile(
     re.I,
 )
 #: Words that each notice has, and the beginnings of lines of rights and addresses.
-_HINT = re.compile(r"cookie|traceur|stores small files|privacy choices|personal data|sign up for|briefing|newsletter|inbox|notre lettre|boletín|erhalten sie|no spam|javascript to view|built with care|external (?:sites|links)", re.I)
+_HINTS = ("cookie", "traceur", "stores small files", "privacy choices", "personal data", "sign up for", "briefing", "newsletter", "inbox", "notre lettre", "boletín", "erhalten sie", "no spam", "javascript to view", "built with care", "external sites", "external links")
 _RIGHTS = re.compile(r"^\W*(?:(?:©|\(c\)|copyright (?:©|\d{4}))|registered office:)", re.I)
 _CUT = re.compile(r"(?<=[.!?。！？])\s+")
 INLINE = re.compile(r"^(?:related|read more|read also|see also|more|also read|mehr zum thema|lesen sie auch|siehe auch|à lire aussi|lire aussi|voir aussi|lea también|lee también|ver también|más sobre [^:]{0,30}|relacionado)\s*:\s+\S", re.I)
@@ -137,7 +137,8 @@ def _long_notice(s: str) -> bool:
     """Whether a long line is a notice: its first sentence is one, or at least half of them are."""
     if _RIGHTS.match(s) or INLINE.match(s):
         return True
-    if not _HINT.search(s):
+    low = s.lower()
+    if not any(h in low for h in _HINTS):
         return False
     parts = [bool(NOTICE.match(x)) for x in _CUT.split(s) if x]
     return parts[0] or 2 * sum(parts) >= len(parts)
