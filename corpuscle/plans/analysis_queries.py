@@ -295,7 +295,7 @@ def m1_coef(s, sf):
 #: The density of Student's t with v degrees, its two-sided tail by Simpson's rule, and the upper tail of F.
 _DENSITY = "exp(lgamma((v + 1) / 2.0) - lgamma(v / 2.0)) / sqrt(v * pi()) * pow(1 + {u} * {u} / v, -(v + 1) / 2.0)"
 _TAIL = f"greatest(0.0, (SELECT 1 - 2 * sum((CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * {_DENSITY.format(u='(k * abs(t) / 2000)')}) * abs(t) / 6000 FROM range(0, 2001) AS r(k)))"
-_F_TAIL = """greatest(0.0, (SELECT sum((CASE WHEN k = 20000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(lgamma((d1 + d2) / 2.0) - lgamma(d1 / 2.0) - lgamma(d2 / 2.0) + (d2 / 2.0 - 1) * ln(k * x / 20000) + (d1 / 2.0 - 1) * ln(1 - k * x / 20000))) * x / 60000 FROM range(1, 20001) AS r(k)))"""
+_F_TAIL = """least(1.0, (SELECT sum((CASE WHEN k IN (0, 20000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * 2 * exp(lgamma((d1 + d2) / 2.0) - lgamma(d1 / 2.0) - lgamma(d2 / 2.0)) * pow(1 - s * s, d2 / 2.0 - 1) * pow(s, d1 - 1)) * (1 - sqrt(1 - x)) / 60000 FROM (SELECT k, least(1.0, sqrt(1 - x) + k * (1 - sqrt(1 - x)) / 20000) AS s FROM range(0, 20001) AS r(k))))"""
 
 
 def _m1_errors(y: str) -> str:
