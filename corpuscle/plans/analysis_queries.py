@@ -359,11 +359,15 @@ def m2_coef(s, sf):
     return _rows(s, m2(s, sf).table())
 
 
-@query("m2_ftest")
+@query("m2_ftest", _M2 + f""", y AS (SELECT ok.* FROM ok SEMI JOIN q ON ok.actor = q.actor AND ok.context = q.context), a AS (SELECT actor, sum(n) AS nn, sum(n * m) / sum(n) AS my, coalesce(sum(n) FILTER (context = 'policy'), 0) AS p, coalesce(sum(n) FILTER (context = 'public'), 0) AS u, coalesce(sum(n * m) FILTER (context = 'policy'), 0) AS yp, coalesce(sum(n * m) FILTER (context = 'public'), 0) AS yu FROM q GROUP BY 1),
+w AS (SELECT sum(p - p * p / nn) AS s11, sum(u - u * u / nn) AS s22, -sum(p * u / nn) AS s12, sum(yp - p * my) AS y1, sum(yu - u * my) AS y2, sum(nn * my * my) AS base, count(*) AS actors, sum(nn) AS n FROM a),
+e AS (SELECT n, (SELECT count(*) FROM q) AS cells, actors, (SELECT sum(y * y) FROM y) - (SELECT sum(n * m * m) FROM q) AS sse, (SELECT sum(y * y) FROM y) - base - (y1 * (s22 * y1 - s12 * y2) + y2 * (s11 * y2 - s12 * y1)) / (s11 * s22 - s12 * s12) AS additive FROM w),
+h AS (SELECT cells - actors - 2 AS d1, n - cells AS d2, (additive - sse) / (cells - actors - 2) / (sse / (n - cells)) AS f FROM e), x AS (SELECT *, d2 / (d2 + d1 * f) AS x FROM h)
+SELECT round(f, 4) AS f, CAST(d1 AS INTEGER) AS df_num, CAST(d2 AS INTEGER) AS df_den, round({_F_TAIL}, 6) AS p FROM x""")
 def m2_ftest(s, sf):
     f = m2(s, sf)
     stat, q, p = statistics.wald(f, [i for i, t in enumerate(f.terms) if ":" in t])
-    return s.createDataFrame([(float(stat), q, f.n - f.rank, float(p))], "f double, df_num int, df_den int, p double")
+    return s.createDataFrame([(round(float(stat), 4), q, f.n - f.rank, round(float(p), 6))], "f double, df_num int, df_den int, p double")
 
 
 @query("m3_coef")
