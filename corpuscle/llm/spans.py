@@ -222,7 +222,7 @@ def sketch(df: DataFrame, text: str, sk: Sketch, length: int = LENGTH, w: int =
 def _folded(merged: DataFrame, sk: Sketch) -> np.ndarray:
     """The folded sketch: 2**fold bits, at most 2**MAX_BITS / 8 bytes."""
     out = np.zeros((1 << sk.range_bits, 1 << (sk.fold - sk.range_bits - 3)), dtype=np.uint8)
-    for r in merged.select("rng", "bits").toLocalIterator():
+    for r in merged.select("rng", "bits").collect():
         out[r["rng"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
     return out.ravel()
 
@@ -282,7 +282,7 @@ def _maybe(rows: DataFrame, column, n: int):
     cell = lambda c: F.shiftrightunsigned(c, 64 - bits)
     blocks = rows.select(cell(column).alias("c")).groupBy(F.shiftright("c", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("c").bitwiseAND(F.lit(32767))).alias("bits"))
     seen = np.zeros((max(1, (1 << bits) >> 15), 4096), dtype=np.uint8)
-    for r in blocks.toLocalIterator():  # at most 2**MAX_BITS / 8 bytes
+    for r in blocks.collect():  # at most 2**MAX_BITS / 8 bytes
         seen[r["b"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(seen.ravel())
 
