@@ -1,7 +1,12 @@
 """Cases of the review: what the operators once left out."""
+import math
+from collections import Counter
+from itertools import pairwise, product
+
 from corpuscle.llm import boilerplate as B
 from corpuscle.llm import residue as R
 from corpuscle.llm import sentences as P
+from corpuscle.llm import transcripts as X
 
 
 def corpus(spark, path, rows):
@@ -89,3 +94,79 @@ def test_weak_messages_of_one_host_under_other_titles(spark):
     rows += [(f"m{i}", f"Members of {t}\nMembers at the gate", "h") for i, t in enumerate(talks)]
     df = spark.createDataFrame(rows, "doc_id string, body string, host string")
     assert {r.doc_id for r in R.verdicts(df).collect()} == {"d0", "d1", "d2", "d3", "n0", "n1", "n2"}
+
+
+def who(text, line):
+    return next(w for i, w, _ in X.turns(text) if i == line)
+
+
+def at(n, rest):
+    return f"[{n // 60:02}:{n % 60:02}:00] {rest}"
+
+
+def test_the_model_runs_in_order_of_time_not_of_the_file():
+    lines = []
+    for i in range(8):  # Tarr is answered by Vane, Benar by Torrel
+        lines += [at(4 * i, "Kofi Tarr: Yes."), at(4 * i + 1, "Ana Vane: Yes."), at(4 * i + 2, "Lee Benar: Yes."), at(4 * i + 3, "Ana Torrel: Yes.")]
+    lines += [at(40, "Kofi Tarr: Yes."), at(43, "Ana: Yes."), at(42, "Lee Benar: Yes.")]  # in the file after Tarr, in time after Benar
+    assert who("\n".join(lines), 33) == "torrel"
+
+
+def test_an_utterance_without_a_word_is_no_step_of_the_model():
+    lines = []
+    for _ in range(8):
+        lines += [">> Kofi Tarr: Yes.", ">> Ana Vane: Yes.", ">> Lee Benar: Yes.", ">> Ana Torrel: Yes."]
+    lines += [">> Kofi Tarr: Yes.", ">> Lee Benar: [laughter] um", ">> Ana: Yes."]
+    assert who("\n".join(lines), 34) == "vane"
+
+
+def test_lines_without_a_label_are_evidence_of_their_speaker():
+    talk = {"Vane": "rates inflation bonds yields markets", "Torrel": "robots sensors motors gears arms"}
+    lines = []
+    for i in range(6):  # all that tells them apart stands in lines with a stamp and no label
+        for k, (name, said) in enumerate(talk.items()):
+            lines += [at(6 * i + 3 * k, f"Ana {name}: Yes."), at(6 * i + 3 * k + 1, said), at(6 * i + 3 * k + 2, "Host: So.")]
+    for k, said in enumerate((talk["Torrel"], talk["Vane"])):
+        lines += [at(40 + 3 * k, "Ana: Yes."), at(41 + 3 * k, said), at(42 + 3 * k, "Host: So.")]
+    text = "\n".join(lines)
+    assert [who(text, 36), who(text, 39)] == ["torrel", "vane"]
+
+
+def test_roles_initials_and_misspellings_that_fit_several_are_hidden_states():
+    talk = ["rates inflation bonds yields markets", "robots sensors motors gears arms"]
+    for names, label in (
+        (("Kofi Tarr (Analyst)", "Lee Benar (Analyst)"), "Analyst"),
+        (("Kofi Tarr", "Karin Benar"), "K."),
+        (("Kofi Hansen", "Lee Hangon"), "Hanson"),
+    ):
+        lines = []
+        for _ in range(6):
+            lines += [f">> {names[0]}: {talk[0]}", ">> Host: So.", f">> {names[1]}: {talk[1]}", ">> Host: So."]
+        lines += [f">> {label}: {talk[1]}", ">> Host: So.", f">> {label}: {talk[0]}"]
+        first, second = (X.Label(n).family for n in names)
+        text = "\n".join(lines)
+        assert [who(text, 24), who(text, 26)] == [second, first], label
+    assert who(">> Kofi Tarr: Yes.\n>> Moderator: So.\n>> Q: No.", 1) == "moderator"
+    assert who(">> Kofi Tarr: Yes.\n>> Moderator: So.\n>> Q: No.", 2) == "q"
+
+
+def test_the_sequence_is_the_most_probable_one():
+    """All sequences of a small transcript, weighed by the definition: proper probabilities, of all words."""
+    said = ["a b c a b d e", "f g h", "a f c", "b g d f", "f f h a", "c d b", "h g a", "a b f e e", "g d", "a c f h"]
+    for mask in product((False, True), repeat=5):
+        free = {3, 6} | {k for k, m in zip((2, 4, 5, 7, 9), mask) if m}
+        segs = [{"label": None, "t": None, "parts": [(k, x)], "said": [(k, x)]} for k, x in enumerate(said)]
+        cands = [["p", "q"] if k in free else ["pqr"[k % 3]] for k in range(len(said))]
+        trans = Counter((a[0], b[0]) for a, b in pairwise(cands) if len(a) == len(b) == 1)
+        names = sorted({n for c in cands for n in c})
+        spoken = Counter(" ".join(said).split())
+        own = {n: Counter(w for x, c in zip(said, cands) if c == [n] for w in x.split()) for n in names}
+        weight = {n: {x: own[n][x] + 0.5 + len(spoken) * spoken[x] / sum(spoken.values()) / 2 for x in spoken} for n in names}
+        step = {a: {b: trans[a, b] + (0.2 if a == b else 1) for b in names} for a in names}
+
+        def score(path):
+            moves = sum(math.log(step[a][b] / sum(step[a].values())) for a, b in pairwise(path))
+            return moves + sum(math.log(weight[n][w] / sum(weight[n].values())) for n, x in zip(path, said) for w in x.split())
+
+        best = max(map(score, product(*cands)))
+        assert math.isclose(score(X.resolve(segs, cands)), best)
